@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import spread
+
 
 @dataclass
 class Table:
@@ -201,7 +203,7 @@ def json_nodes(df: DataFrame, key: str, text: str, id_name: str) -> DataFrame:
             rows = [(k, p, n) for k, t in zip(b["k"], b["t"]) for p, n in json_objects(t, id_name)]
             yield pd.DataFrame(rows, columns=["k", "parent_key", "node_key"])
 
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     kind = dict(src.dtypes)["k"]
     return src.mapInPandas(run, f"k {kind}, parent_key string, node_key string").withColumnRenamed("k", key)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import inlining, instants, orphans
+from ..session import spread
 from ..sources.tables import table
 
 

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +41,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             root = "file://" + tempfile.mkdtemp(prefix="veritide-")
             spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{what}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """Rows dealt out over `per_core` tasks a core before a costly per-row stage, if the scan has fewer partitions than that.
+
+    Only small inputs are dealt out: a large scan has partitions enough and is left alone.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
