@@ -86,6 +86,10 @@ def shapes() -> list[tuple[str, "re.Pattern"]]:
 _NO_PHONE = re.compile(r"(?i)(?:case|invoice|order|batch|ticket|sku|row|build|ratio|column|ref|id|number)s?\W{0,3}$")
 
 
+#: What `redact` leaves is no item.
+_PLACEHOLDER = re.compile(r"\[(?:EMAIL|PHONE|ID|ADDRESS|NAME)\]")
+
+
 def fold(word: str) -> str:
     """Letters without accents and case, without a possessive ending."""
     w = re.sub(r"['’]s$", "", word)
@@ -131,7 +135,7 @@ class Scanner:
     def nodes(self, text: str, taken: list[tuple[int, int, str]]) -> list[dict]:
         """Words that can be part of a name, with what surrounds them."""
         cover = bytearray(len(text))
-        for s, e, _ in taken:
+        for s, e in [(s, e) for s, e, _ in taken] + [m.span() for m in _PLACEHOLDER.finditer(text)]:
             cover[s:e] = b"\1" * (e - s)
         words = []
         for m in self.word.finditer(text):
@@ -365,7 +369,10 @@ def find(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         scan = Scanner(sent.value)
         for b in batches:
             hits = [(i, *h) for i, t in enumerate(b[text]) if isinstance(t, str) for h in scan(t)]
-            out = b.iloc[[h[0] for h in hits]][keep].reset_index(drop=True)
+            if not hits:
+                continue
+            at = [h[0] for h in hits]
+            out = pd.DataFrame({c: b[c].to_numpy(dtype=object)[at] for c in keep}, index=range(len(at)))
             out["entity_type"], out["start_char"], out["end_char"] = [h[3] for h in hits], [h[1] for h in hits], [h[2] for h in hits]
             yield out
 
@@ -389,7 +396,7 @@ def redact(df: DataFrame, model: dict, text: str = "text", out: str = "redacted"
                 t = f"{t[:s]}[{kind}]{t[e:]}"
             return t
 
-        return texts.map(one)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return df.withColumn(out, replace(F.col(text)))
 

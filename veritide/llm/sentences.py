@@ -206,6 +206,7 @@ def kind(c: dict, text: str, a: int) -> str:
 
 def count_text(text: str, t: dict, counts: Counter) -> None:
     """Adds a text's certain events: start/mid by word after, end/abbr by word before."""
+    known = ABBREVIATIONS.split()
     for a, b, whole in blocks(text, t):
         cs = candidates(text, a, b, t)
         places = {c["next"] for c in cs}
@@ -220,6 +221,8 @@ def count_text(text: str, t: dict, counts: Counter) -> None:
                 counts["start", c["word"]] += 1
             elif k == "none" and c["mark"] == "." and c["blank"]:
                 counts["abbr", c["prev"]] += 1
+            elif k == "dot" and c["lead"].isupper() and not c["quoted"] and len(c["prev"]) > 3 and c["prev"].isalpha() and c["prev"] not in known:
+                counts["start", c["word"]] += 1
             elif k == "dot" and c["lead"].isdigit() and c["prev"] != "0":
                 counts["abbr", c["prev"]] += 1
         for m in re.finditer(r"\.(?=[,;:])", text[a:b]):
