@@ -93,7 +93,7 @@ def blocks(text: str, t: dict) -> Iterator[tuple[int, int, bool]]:
             before = text[a:s].rstrip()
             fresh = not before or before[-1] in END + ";:：" + CLOSERS or counts[shape(x)] > 1
             letter = x["num"] and x["num"][0].isalpha() and not x["num"].endswith((")", "）", "、"))
-            if fresh and not letter and (k > 0 or counts[shape(x)] > 1 or not (x["num"] or "").endswith(".") or len(starts) == 1):
+            if fresh and not letter:
                 items.append(s)
         edges = sorted({a, *items, b})
         for s, e in zip(edges, edges[1:]):
@@ -284,7 +284,7 @@ class Splitter:
         if k == "dots":
             return 2.0 + 0.5 * after
         end, abbr = m["end"].get(prev, 0), m["abbr"].get(prev, 0)
-        known = prev in self.known or len(prev.replace(".", "")) == 1 and prev != "0" or "." in prev and prev != "0"
+        known = prev in self.known or len(prev.replace(".", "")) == 1 and prev != "0" or bool(re.fullmatch(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}", prev))
         before = math.log((end + 0.5) / (abbr + (0.5 if not known else 4.0)))
         before = max(-4.0, min(4.0, before))
         if known:
