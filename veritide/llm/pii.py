@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 MAX_REGISTER = 200_000
 # Titles, particles of surnames, and words that make a name that of an organisation, room or team.
 TITLES = "mr mrs ms miss mx dr prof herr frau mme mlle monsieur madame sr sra srta señor señora sir dame".split()
+_TITLES = frozenset(TITLES)
 PARTICLES = "de la las los del der den van von zu zur al el da dos das di du le bin ben ter ten".split()
 ORGANISATION = """academy alliance association bank bureau campaign centre center choir church club college committee company co corp council credit desk
 federation food forum foundation fund gmbh group guild history hospital inc institute league library limited llc ltd museum network office partners school
@@ -86,6 +87,8 @@ def shapes() -> list[tuple[str, "re.Pattern"]]:
 _NO_PHONE = re.compile(r"(?i)(?:case|invoice|order|batch|ticket|sku|row|build|ratio|column|ref|id|number)s?\W{0,3}$")
 
 
+_AT, _DIGIT = re.compile(r"[@＠]|[\[({]\s?(?:at|ät)\b|\b(?:dot|DOT)\b"), re.compile(r"\d")
+_BREAKS = frozenset(".!?\n:;<>()[]|\"“”")
 #: What `redact` leaves is no item.
 _PLACEHOLDER = re.compile(r"\[(?:EMAIL|PHONE|ID|ADDRESS|NAME)\]")
 
@@ -118,12 +121,15 @@ class Scanner:
         import regex
 
         self.reg, self.weights, self.common = model["register"], model["weights"], model["common"]
-        self.shapes = shapes()
+        self.shapes, self.folded = shapes(), {}
         self.word = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*\.?")
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         taken, out = bytearray(len(text)), []
         for kind, p in self.shapes:
+            # What a shape can't do without: a sign for "at", or a digit.
+            if not (_AT if kind == "EMAIL" else _DIGIT).search(text):
+                continue
             for m in p.finditer(text):
                 s, e = m.span("x")
                 if any(taken[s:e]) or kind == "PHONE" and m["x"].isdigit() and _NO_PHONE.search(text[max(0, s - 14) : s]):
@@ -141,19 +147,26 @@ class Scanner:
         for m in self.word.finditer(text):
             if not cover[m.start()]:
                 w = m[0]
-                if w.endswith(".") and (len(w) > 2 and w[:-1].casefold() not in TITLES):
+                if w.endswith(".") and (len(w) > 2 and w[:-1].casefold() not in _TITLES):
                     w = w[:-1]
-                words.append({"s": m.start(), "e": m.start() + len(w), "w": w, "f": fold(w.rstrip("."))})
-        for i, n in enumerate(words):
-            before = text[words[i - 1]["e"] : n["s"]] if i else "\n"
-            n["gap"] = before
-            n["start"] = not before.strip(" \u00a0,") and not i or any(c in before for c in ".!?\n:;<>()[]|\"“”") or i == 0
-            n["linked"] = i > 0 and bool(re.fullmatch(r"[^\S\r\n]{1,2}|,[^\S\r\n]", before))
+                key = w.rstrip(".")
+                f = self.folded.get(key)
+                if f is None:
+                    if len(self.folded) > 200_000:
+                        self.folded.clear()
+                    f = self.folded[key] = fold(key)
+                words.append({"s": m.start(), "e": m.start() + len(w), "w": w, "f": f})
+        given, surname, end = self.reg["given"], self.reg["surname"], 0
         for i, n in enumerate(words):
-            w, core = n["w"], n["f"]
-            n["initial"] = bool(re.fullmatch(r"[^\W\d_]\.", w)) and w[0].isupper()
-            n["given"], n["sur"] = core in self.reg["given"], core in self.reg["surname"]
-            n["node"] = n["given"] or n["sur"] or n["initial"] or w[0].isupper() and len(core) > 1 and core not in TITLES
+            w, f = n["w"], n["f"]
+            gap = text[end : n["s"]] if i else "\n"
+            end = n["e"]
+            n["gap"] = gap
+            n["start"] = i == 0 or not _BREAKS.isdisjoint(gap)
+            n["linked"] = i > 0 and 0 < len(gap) < 3 and (gap.isspace() or gap[0] == "," and len(gap) == 2 and gap[1].isspace()) and "\n" not in gap and "\r" not in gap
+            n["initial"] = len(w) == 2 and w[1] == "." and w[0].isupper()
+            n["given"], n["sur"] = f in given, f in surname
+            n["node"] = n["given"] or n["sur"] or n["initial"] or w[0].isupper() and len(f) > 1 and f not in _TITLES
         return words
 
     def features(self, words: list[dict], i: int, drop: bool = False) -> list[str]:
