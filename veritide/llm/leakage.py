@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SEED, SPACING = 5, 6
+#: Tokens looked at before (half) and after a seed.
+SIGHT = 24
 LEAST = {"word": 12, "char": 20}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +60,10 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     order = np.argsort(flat, kind="stable")
     where = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
     at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
-    return {"ids": [i for i, _ in items], "vocab": vocab, "arrays": arrays, "least": kinds, "hash": flat[order], "item": where[order], "at": at[order]}
+    pad = np.full(SIGHT, -1, dtype=np.int64)
+    start = np.cumsum([SIGHT, *(len(a) + SIGHT for a in arrays)])[: len(arrays)]
+    flat_items = np.concatenate([pad, *(x for a in arrays for x in (a, pad))])
+    return {"flat": flat_items, "start": start, "ids": [i for i, _ in items], "vocab": vocab, "arrays": arrays, "least": kinds, "hash": flat[order], "item": where[order], "at": at[order]}
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -102,15 +107,28 @@ def passage(doc: np.ndarray, item: np.ndarray, tile: tuple[int, int, int]) -> in
     return best
 
 
+def promising(doc: np.ndarray, d: np.ndarray, s: np.ndarray, index: dict) -> np.ndarray:
+    """Which seeds lie in twelve tokens in a row of which at most two differ: every passage does around each of its seeds."""
+    around = np.arange(-(SIGHT // 2), SIGHT)
+    padded = np.r_[np.full(SIGHT, -2), doc, np.full(SIGHT, -2)]
+    same = padded[d[:, None] + SIGHT + around] == index["flat"][(index["start"][index["item"][s]] + index["at"][s])[:, None] + around]
+    seen = np.cumsum(np.c_[np.zeros(len(d), np.int16), same.astype(np.int16)], axis=1, dtype=np.int16)
+    return (seen[:, 12:] - seen[:, :-12] >= 10).any(axis=1)
+
+
 def leaks(doc: np.ndarray, index: dict) -> list[tuple[int, float]]:
     """(place of the item in the block, share of it covered by tiles) of every item that leaks into the document."""
     h = rolling(doc)
     lo, hi = np.searchsorted(index["hash"], h), np.searchsorted(index["hash"], h, side="right")
     seeds: dict[int, list[tuple[int, int]]] = {}
-    for d in np.flatnonzero(hi > lo):
-        if doc[d : d + SEED].all():
-            for s in range(lo[d], hi[d]):
-                seeds.setdefault(int(index["item"][s]), []).append((int(d), int(index["at"][s])))
+    places = np.flatnonzero(hi > lo)
+    for part in np.array_split(places, max(1, int((hi - lo)[places].sum()) // 50_000)):
+        n = (hi - lo)[part]
+        d = np.repeat(part, n)
+        s = np.repeat(lo[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(d)) if len(part) else d
+        keep = promising(doc, d, s, index)
+        for k, x, y in zip(index["item"][s[keep]].tolist(), d[keep].tolist(), index["at"][s[keep]].tolist()):
+            seeds.setdefault(k, []).append((x, y))
     out = []
     for k, pairs in seeds.items():
         item = index["arrays"][k]
