@@ -117,11 +117,14 @@ def blocks(text: str, t: dict) -> Iterator[tuple[int, int, bool]]:
                 yield s, e, title
 
 
+_PAIRED = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"＂') + "]")
+
+
 def inner(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
     """Spans of quoted or bracketed text within [a, b), and for every closing place its opening place."""
     spans, stack, closes, straight = [], [], {}, None
-    for i in range(a, b):
-        c = text[i]
+    for m in _PAIRED.finditer(text, a, b):
+        i, c = m.start(), m[0]
         if c == '"' or c == "＂":
             if straight is None:
                 straight = i
