@@ -18,23 +18,38 @@ yourself yourselves""".split()
 
 
 def name_pattern(names: list[str]) -> str | None:
-    """One alternation, longest first: `First Last`, `Last, First`, and a bare surname only where it is hyphenated. None for no names."""
+    """`First Last`, `Last, First`, and a bare surname only where it is hyphenated. None for no names.
+
+    Alternatives are grouped by their first part, so a place in a text is tried against each part once, not against each name.
+    """
     import re
 
-    alts: set[str] = set()
+    tails: dict[str, set[str]] = {}
+    bare: set[str] = set()
     for n in names:
         parts = n.split()
         if len(parts) < 2:
             continue
         first, last = re.escape(parts[0]), r"\s+".join(re.escape(p) for p in parts[1:])
-        alts |= {rf"{first}\s+{last}", rf"{last}\s*,\s*{first}"} | ({last} if "-" in parts[-1] else set())
-    return rf"(?iuU)\b(?:{'|'.join(sorted(alts, key=lambda a: (-len(a), a)))})\b" if alts else None
+        tails.setdefault(first, set()).add(rf"\s+{last}")
+        tails.setdefault(last, set()).add(rf"\s*,\s*{first}")
+        if "-" in parts[-1]:
+            bare.add(last)
+    long_first = lambda xs: sorted(xs, key=lambda x: (-len(x), x))
+    alts = [f"{h}(?:{'|'.join(long_first(tails[h]))}){'?' if h in bare else ''}" for h in long_first(tails)]
+    return rf"(?iuU)\b(?:{'|'.join(alts)})\b" if alts else None
 
 
 def scrub(c: Column, names: list[str] | None = None) -> tuple[Column, dict[str, Column]]:
     """(text with placeholders, counts by kind). Each kind is counted in what the kinds before it left."""
     counts = {}
     for kind, p in (("EMAIL", EMAIL), ("PHONE", PHONE), ("ADDRESS", ADDRESS), ("NAME", name_pattern(names or []))):
+        if kind == "NAME" and p:
+            # The long pattern runs once: its matches are the placeholders that come in addition.
+            mark = F.lit(r"\[NAME\]")
+            clean = F.regexp_replace(c, p, "[NAME]")
+            counts[kind], c = F.regexp_count(clean, mark) - F.regexp_count(c, mark), clean
+            continue
         counts[kind] = F.regexp_count(c, F.lit(p)) if p else F.lit(0)
         c = F.regexp_replace(c, p, f"[{kind}]") if p else c
     return c, counts

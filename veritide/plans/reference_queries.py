@@ -8,6 +8,7 @@ from ..functions import score as S, text as X
 from ..functions.calendar import build_day, iso_week, run_id
 from ..functions.ids import replay_key, theme_number
 from ..operators import audit, claims as C, documents as D, drift, incremental as I, render, retrieval, rules, themes as TH
+from ..session import spread
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -178,7 +179,7 @@ def document_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_cases", "row_no", "comments").select("row_no", F.posexplode(F.transform("comments", lambda c: c["CommentBody"])).alias("i", "text")).where("text is not null")
+    return spread(table(spark, d, "raw_cases", "row_no", "comments").select("row_no", F.posexplode(F.transform("comments", lambda c: c["CommentBody"])).alias("i", "text")).where("text is not null"))
 
 
 _BODY = "c as (select row_no, (i - 1)::int as i, comments[i].CommentBody as text from raw_cases, unnest(range(1, len(comments) + 1)) u(i) where comments[i].CommentBody is not null)"
@@ -193,7 +194,9 @@ def scrub_email(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scrub_all(spark: SparkSession, d: str) -> DataFrame:
     """All four kinds by the fixed patterns and the name register; look-around has no counterpart in the SQL engine."""
-    names = [r[0] for r in table(spark, d, "pii_names", "name").limit(10_000).collect()]
+    names = [r[0] for r in table(spark, d, "pii_names", "name").limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 registered names: use the scanner of the text operators")
     clean, counts = X.scrub(F.col("text"), names)
     return _comments(spark, d).select("row_no", "i", clean.alias("clean"), *[v.alias(k.lower()) for k, v in counts.items()])
 
