@@ -144,6 +144,15 @@ def test_replay(spark):
     assert replay.with_retry(req, rec, F.col("result") == "good").first().result == "good"
 
 
+def test_counters_take_no_booleans(spark):
+    from veritide.operators import audit
+
+    rows = [("r", "read", "connect", "ok", None), ("r", "withhold", "verify", "withheld", '{"count": 3}'), ("r", "withhold", "verify", "withheld", '{"count": true}'), ("r", "reject", "verify", "rejected", "{}"),
+            ("r", "reject", "verify", "rejected", "no json"), ("r", "propose", "propose", "ok", None), ("r", "approve", "propose", "error", None)]
+    df = spark.createDataFrame(rows, "run_id string, action string, stage string, outcome string, detail string")
+    assert tuple(audit.counters(df, "run_id").first()) == ("r", 1, 0, 4, 2, 1, 0)
+
+
 def test_digest_text(spark):
     df = spark.createDataFrame([(1, "T1", "a|b", 9, 1, 0)], "position int, theme_id string, title string, score int, customers int, prospects int")
     assert render.digest(df, "2026-W37").endswith("| 1 | T1 | a/b | 9 | 1 customers, 0 prospects |")

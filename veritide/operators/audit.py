@@ -18,7 +18,9 @@ def usage(events: DataFrame, *keys: str) -> DataFrame:
 def counters(events: DataFrame, by: str) -> DataFrame:
     """Counters of a log as conditional sums: listed and read sources, withheld, redactions, rejections by reason, proposals, filings."""
     n = lambda cond: F.count_if(F.expr(cond))
-    detail = F.coalesce(F.try_variant_get(F.try_parse_json("detail"), "$.count", "bigint"), F.lit(1))
+    v = F.try_parse_json("detail")
+    number = F.schema_of_variant(F.try_variant_get(v, "$.count", "variant")) != "BOOLEAN"  # a JSON boolean is no count
+    detail = F.coalesce(F.when(number, F.try_variant_get(v, "$.count", "bigint")), F.lit(1))
     add = lambda cond: F.coalesce(F.sum(F.when(F.expr(cond), detail)), F.lit(0))
     return events.groupBy(by).agg(
         n("action = 'read' and stage = 'connect'").alias("sources_listed"), n("action = 'read' and stage = 'extract'").alias("sources_read"),
