@@ -7,16 +7,27 @@ from pyspark.sql.window import Window
 from .documents import latest
 
 
-def resolve(claims: DataFrame, turns: DataFrame) -> DataFrame:
-    """Claims on calls with the first turn of the same call and speaker that holds the cited interval, and the text within it.
+def resolve(claims: DataFrame, turns: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """Every claim row with the first turn it cites: claims on calls the turn of the same call and speaker that holds the cited
+    interval, all others (if `comments` are given) the published comment of the same case and id.
 
-    An equi-join with a residual interval condition; several deliveries and turns may fit, the first by delivery and place wins.
+    Equi-joins, the first with a residual interval condition; several deliveries and places may fit, the first by delivery and
+    place wins. Repeated claim rows stay repeated. A comment's delivery_id and turn_ix are its row_no and place; its side is the
+    one stated with the claim, as no table holds the authors.
     """
-    c = claims.where("source = 'gong'").select("claim_id", "loaded_at", "verbatim", F.col("source_ref.call_id").alias("call_id"), F.col("source_ref.speaker_id").alias("speaker_id"),
+    claims = claims.withColumn("__row", F.monotonically_increasing_id())
+    first = lambda j: latest(j, "__row", F.asc_nulls_last("delivery_id"), F.asc("turn_ix")).drop("__row")
+    c = claims.where("source = 'gong'").select("__row", "claim_id", "loaded_at", "verbatim", "source", F.col("source_ref.call_id").alias("call_id"), F.col("source_ref.speaker_id").alias("speaker_id"),
                                                F.col("source_ref.start_ms").alias("cs"), F.col("source_ref.end_ms").alias("ce"))
     t = turns.select("call_id", "speaker_id", "delivery_id", "turn_ix", "start_ms", "end_ms", "side", F.col("text").alias("turn_text"))
     j = c.join(t, (c.call_id == t.call_id) & (c.speaker_id == t.speaker_id) & (t.start_ms <= c.cs) & (t.end_ms >= c.ce), "left").drop(t.call_id).drop(t.speaker_id)
-    return latest(j, ["claim_id", "loaded_at"], F.asc_nulls_last("delivery_id"), F.asc("turn_ix"))
+    calls = first(j)
+    if comments is None:
+        return calls
+    c = claims.where("source is distinct from 'gong'").select("__row", "claim_id", "loaded_at", "verbatim", "source", F.col("source_ref.case_id").alias("case_id"), F.col("source_ref.comment_id").alias("comment_id"), "speaker_side")
+    t = comments.select("case_id", "comment_id", F.col("row_no").alias("delivery_id"), F.col("ord").alias("turn_ix"), F.coalesce("body", F.lit("")).alias("turn_text"))
+    j = c.join(t, ["case_id", "comment_id"], "left").withColumn("side", F.when(F.col("turn_ix").isNotNull(), F.coalesce("speaker_side", F.lit("vendor")))).drop("speaker_side")
+    return calls.unionByName(first(j), allowMissingColumns=True)
 
 
 def span_text(sentences: str = "sentences", start: str = "cs", end: str = "ce"):

@@ -225,7 +225,9 @@ _RES = f"""{_TURNS}, c as (select claim_id, loaded_at, verbatim, source_ref.call
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    return C.resolve(table(spark, d, "claims"), D.turns(table(spark, d, "raw_calls")))
+    """Claims on calls only, one row per (claim_id, loaded_at), as the SQL of the next two queries has it."""
+    whole = C.resolve(table(spark, d, "claims"), D.turns(table(spark, d, "raw_calls")))
+    return D.latest(whole, ["claim_id", "loaded_at"], F.asc_nulls_last("delivery_id"), F.asc("turn_ix"))
 
 
 @query(f"with {_RES} select claim_id, delivery_id, turn_ix, side from res")
@@ -239,6 +241,34 @@ def reject_reason_chain(spark: SparkSession, d: str) -> DataFrame:
     return C.reasons(_resolved(spark, d)).groupBy(F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+_RES_ALL = f"""{_TURNS}, l as (select *, row_number() over () as row from claims),
+  k as (select row_no, case_id, row_number() over (partition by row_no order by c.CreatedDate nulls first, c.Id, c.CommentBody nulls first, c.CreatedById) - 1 as ord, c.Id as comment_id, coalesce(c.CommentBody, '') as body
+    from (select row_no, case_data.Id as case_id, unnest(comments) as c from raw_cases) where c.IsPublished),
+  j as (select l.row, l.claim_id, l.loaded_at, l.verbatim, l.source, t.delivery_id, t.turn_ix, t.side, t.text
+    from l left join turns t on t.call_id = l.source_ref.call_id and t.speaker_id = l.source_ref.speaker_id and t.start_ms <= l.source_ref.start_ms and t.end_ms >= l.source_ref.end_ms where l.source = 'gong'
+    union all select l.row, l.claim_id, l.loaded_at, l.verbatim, l.source, k.row_no, k.ord, case when k.ord is not null then coalesce(l.speaker_side, 'vendor') end, k.body
+    from l left join k on k.case_id = l.source_ref.case_id and k.comment_id = l.source_ref.comment_id where l.source is distinct from 'gong'),
+  res as (select * from (select *, row_number() over (partition by row order by delivery_id nulls last, turn_ix) as rn from j) where rn = 1),
+  f as (select *, case when claim_id is null or not regexp_matches(claim_id, '^[0-9a-f]{{12}}$') or length(trim(verbatim)) = 0 then 'schema_invalid' when turn_ix is null then 'citation_unresolved'
+      when side <> 'client' then 'speaker_not_client' when not contains(text, verbatim) then 'citation_unresolved' end as reason from res),
+  r as (select source, case when reason is null and row_number() over (partition by claim_id, reason is null order by loaded_at) > 1 then 'duplicate' else reason end as reason from f)"""
+
+
+def _resolved_all(spark: SparkSession, d: str) -> DataFrame:
+    return C.resolve(table(spark, d, "claims"), D.turns(table(spark, d, "raw_calls")), D.case_comments(table(spark, d, "raw_cases")))
+
+
+@query(f"with {_RES_ALL} select claim_id, loaded_at, source, delivery_id, turn_ix::int as turn_ix, side from res")
+def citation_resolve_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim row, on calls and on case comments; a citation of a withheld comment finds nothing."""
+    return _resolved_all(spark, d).select("claim_id", "loaded_at", "source", "delivery_id", "turn_ix", "side")
+
+
+@query(f"with {_RES_ALL} select source, coalesce(reason, 'sound') as reason, count(*) as n from r group by all")
+def reject_reason_chain_all(spark: SparkSession, d: str) -> DataFrame:
+    return C.reasons(_resolved_all(spark, d)).groupBy("source", F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 _DERIVED = """tt as (select doc_no as delivery_id, (i - 1)::int as turn_ix, turns[i].ref.call_id as call_id, turns[i].ref.speaker_id as speaker_id, turns[i].ref.start_ms as start_ms, turns[i].ref.end_ms as end_ms, turns[i].speaker_side as side, turns[i]."text" as text
     from gong_call, unnest(range(1, len(turns) + 1)) u(i) where turns[i].ref.call_id is not null),
   c as (select substr(sha256(concat_ws(chr(31), call_id, coalesce(speaker_id, ''), start_ms::varchar, text)), 1, 12) as claim_id, delivery_id * 1000 + turn_ix as loaded_at, case when delivery_id % 5 = 0 then text || '.' else text end as verbatim, call_id, speaker_id, start_ms as cs,
