@@ -1,9 +1,10 @@
 """Places where the code once did less than the whole job."""
+import json
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from veritide.operators import claims as C
+from veritide.operators import claims as C, inlining
 
 
 def test_comment_citations_are_judged_and_repeated_claims_counted(spark):
@@ -17,3 +18,23 @@ def test_comment_citations_are_judged_and_repeated_claims_counted(spark):
     got = Counter((r.claim_id[0], r.delivery_id, r.turn_ix, r.reason) for r in C.reasons(C.resolve(df, turns, comments)).collect())
     assert got == Counter([("0", 1, 0, None), ("0", 1, 0, "duplicate"), ("1", 1, 3, None), ("2", 1, 3, "speaker_not_client"), ("3", None, None, "citation_unresolved"),
                            ("4", 1, 3, "citation_unresolved"), ("5", 1, 4, "citation_unresolved"), ("6", None, None, "citation_unresolved")])
+
+
+def test_objects_keep_their_attributes():
+    inner = {"objectType": "Task", "objectId": 7, "fields": [{"name": "n", "value": {"unit": "seat", "n": 1.50}}, {"name": None, "value": []}]}
+    got = inlining.json_records(json.dumps({"system": "x", "objects": [{"objectId": "a", "note": "\"q\"", "fields_0_name": "own", "payload": json.dumps([inner]), "ok": True}]}), "objectId")
+    assert [(p, n, list(a.items())) for p, n, a in got] == [("", "a", [("objectId", "a"), ("note", '"q"'), ("fields_0_name", "own"), ("ok", "true")]),
+                   ("a", "7", [("objectType", "Task"), ("objectId", "7"), ("fields_0_name", "n"), ("fields_0_value_unit", "seat"), ("fields_0_value_n", "1.5"), ("fields_1_name", None), ("fields_1_value", "[]")])]
+    clash = inlining.json_records('{"objectId": 1, "a": {"b": 1}, "a_b": 2, "a": {"b": null}}', "objectId")
+    assert clash == [("", "1", {"objectId": "1", "a_b": "1", "a_b_2": "2", "a_b_3": None})]
+
+
+def test_call_nodes_come_from_the_flat_tables(spark, data, monkeypatch):
+    calls = spark.read.parquet(f"{data}/raw_calls.parquet").select("delivery_id", "call_data", "transcript")
+    tables = inlining.call_tables(calls)
+    want = {"call_call_data_parties": "party", "call_transcript_transcript": "turn", "call_transcript_transcript_sentences": "sentence", "call_objects": "object"}
+    n = {r["kind"]: r["count"] for r in inlining.call_nodes(calls).groupBy("kind").count().collect()}
+    assert {want[k]: (tables[k].where("id is not null") if k == "call_call_data_parties" else tables[k]).count() for k in want} == n
+    assert tables["call_objects"].where("attributes['objectType'] is not null").count() > 0
+    monkeypatch.setattr(inlining, "flatten", lambda *a: {k: v.limit(0) for k, v in tables.items()})
+    assert {r.kind for r in inlining.call_nodes(calls).select("kind").distinct().collect()} == {"object"}

@@ -4,7 +4,8 @@
 become columns `a_b_c`), an array becomes a table of its own with a foreign key to the parent. `flatten(df, key)` turns
 that plan into DataFrames. Records inside a text column have no schema; their graph is recursive (an object may hold
 objects at any depth, under any name, also as JSON inside a JSON string), so each object carrying the id attribute goes to
-one shared table keyed by its nearest enclosing object, and everything between them is inlined away (`json_nodes`).
+one shared table keyed by its nearest enclosing object, and everything between them is inlined into the attributes of the
+enclosing one (`json_nodes`).
 
 Defined results: null arrays and structs give no child rows; a null array element is no node; repeated rows stay repeated;
 a text that is no valid JSON has no nodes; names that clash after inlining get a numeric suffix; empty tables give empty tables.
@@ -166,65 +167,101 @@ def _text(v) -> str:
     return json.dumps(plain(v), ensure_ascii=False)
 
 
-def json_objects(text: str | None, id_name: str) -> list[tuple[str, str]]:
-    """(parent id, id) of every object with a non-null id attribute, in document order."""
+def _name(path) -> str:
+    parts = []
+    while path:
+        path, step = path
+        parts.append(step)
+    return "_".join(reversed(parts))
+
+
+def json_records(text: str | None, id_name: str) -> list[tuple[str, str, dict[str, str | None]]]:
+    """(parent id, id, attributes) of every object with a non-null id attribute, in document order.
+
+    Attributes are the leaves between the object and the objects with ids below it: names and 0-based places in arrays joined by
+    `_`, a clash gets a numeric suffix; a JSON null is a null, an empty object or array its text. Leaves outside of any such
+    object belong to no row.
+    """
     if text is None:
         return []
     try:
-        stack = [(parse(text), "")]
+        stack = [(parse(text), "", None, None, None)]
     except ValueError:
         return []
     out = []
     while stack:
-        v, parent = stack.pop()
+        v, parent, own, path, raw = stack.pop()
         if isinstance(v, tuple):
             ids = [x for k, x in v[1] if k == id_name and x is not None]
             if ids:
-                out.append((parent, parent := _text(ids[-1])))
-            stack.extend((x, parent) for _, x in reversed(v[1]))
+                parent, path, at = _text(ids[-1]), None, parent
+                out.append((at, parent, own := {}))
+            if v[1]:
+                stack.extend((x, parent, own, (path, k), None) for k, x in reversed(v[1]))
+                continue
         elif isinstance(v, list):
-            stack.extend((x, parent) for x in reversed(v))
+            if v:
+                stack.extend((x, parent, own, (path, str(i)), None) for i, x in zip(range(len(v) - 1, -1, -1), reversed(v)))
+                continue
         elif type(v) is str and v.lstrip()[:1] in ("{", "[", '"'):
             try:
-                stack.append((parse(v), parent))
+                stack.append((parse(v), parent, own, path, raw or v))
+                continue
             except ValueError:
                 pass
+        if own is None:
+            continue
+        name = base = _name(path) or "value"
+        k = 2
+        while name in own:
+            name, k = f"{base}_{k}", k + 1
+        own[name] = raw if raw is not None else None if v is None else _text(v)
     return out
 
 
+def json_objects(text: str | None, id_name: str) -> list[tuple[str, str]]:
+    """(parent id, id) of every object with a non-null id attribute, in document order."""
+    return [(p, n) for p, n, _ in json_records(text, id_name)]
+
+
 def json_nodes(df: DataFrame, key: str, text: str, id_name: str) -> DataFrame:
-    """The shared table of the recursive element inside a JSON text column: (key, parent_key, node_key).
+    """The shared table of the recursive element inside a JSON text column: (key, parent_key, node_key, attributes).
 
-    Python, because no built-in expression walks JSON of unknown names and depth; Arrow batches, one pass, no shuffle.
+    Python, because no built-in expression walks JSON of unknown names and depth; Arrow batches, one pass, no shuffle. As names
+    are unknown, the inlined attributes are one map.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, p, n) for k, t in zip(b["k"], b["t"]) for p, n in json_objects(t, id_name)]
-            yield pd.DataFrame(rows, columns=["k", "parent_key", "node_key"])
+            rows = [(k, *r) for k, t in zip(b["k"], b["t"]) for r in json_records(t, id_name)]
+            yield pd.DataFrame(rows, columns=["k", "parent_key", "node_key", "attributes"])
 
     src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     kind = dict(src.dtypes)["k"]
-    return src.mapInPandas(run, f"k {kind}, parent_key string, node_key string").withColumnRenamed("k", key)
+    return src.mapInPandas(run, f"k {kind}, parent_key string, node_key string, attributes map<string, string>").withColumnRenamed("k", key)
+
+
+def call_tables(calls: DataFrame) -> dict[str, DataFrame]:
+    """Every flat table of call deliveries: those of the schema graph (`flatten`) and `call_objects`, the objects inside customData."""
+    custom = calls.select("delivery_id", F.col("call_data.metaData.customData").alias("custom"))
+    return flatten(calls, "delivery_id", "call") | {"call_objects": json_nodes(custom, "delivery_id", "custom", "objectId")}
 
 
 def call_nodes(calls: DataFrame) -> DataFrame:
-    """Nodes of call deliveries as (delivery_id, kind, parent_key, node_key): party, turn, sentence and object tables, with links.
+    """Nodes of call deliveries as (delivery_id, kind, parent_key, node_key), projected from the flat tables.
 
-    The party, turn and sentence tables are the repeated elements of the row's schema graph; a turn's foreign key is the id of
-    the first party with its speakerId ('' without one). A party without id is no node, as it has no key.
+    A turn's foreign key is the id of the first party of its delivery with its speakerId ('' without one), an equi-join of the two
+    tables. A party without id is no node, as it has no key.
     """
-    parties, turns = F.col("call_data.parties"), F.col("transcript.transcript")
-    party = calls.select("delivery_id", F.explode(parties).alias("p")).where(F.col("p.id").isNotNull()).select(
-        "delivery_id", F.lit("party").alias("kind"), F.lit("").alias("parent_key"), F.col("p.id").alias("node_key"))
-    t = calls.select(
-        "delivery_id", F.filter(F.coalesce(parties, F.array()), lambda p: p.speakerId.isNotNull() & p.id.isNotNull()).alias("ps"), F.posexplode(turns).alias("i", "t"),
-    ).where(F.col("t").isNotNull())
-    speaker = F.get(F.filter("ps", lambda p: p.speakerId == F.col("t.speakerId")), 0)
-    turn = t.select("delivery_id", F.lit("turn").alias("kind"), F.coalesce(speaker.getField("id"), F.lit("")).alias("parent_key"), F.col("i").cast("string").alias("node_key"))
-    s = calls.select("delivery_id", F.posexplode(turns).alias("i", "t")).select("delivery_id", "i", F.posexplode("t.sentences").alias("j", "s")).where(F.col("s").isNotNull())
-    sentence = s.select("delivery_id", F.lit("sentence").alias("kind"), F.col("i").cast("string").alias("parent_key"),
-                        F.concat_ws(".", F.col("i").cast("string"), F.col("j").cast("string")).alias("node_key"))
-    obj = json_nodes(calls.select("delivery_id", F.col("call_data.metaData.customData").alias("custom")), "delivery_id", "custom", "objectId")
-    obj = obj.select("delivery_id", F.lit("object").alias("kind"), "parent_key", "node_key")
+    tables, kind = call_tables(calls), dict(calls.dtypes)["delivery_id"]
+    step = lambda i: F.split_part("row_key", F.lit("."), F.lit(i))  # noqa: E731  (places are the last parts, the key may hold dots)
+    head = lambda n: F.regexp_replace("row_key", rf"(\.[0-9]+){{{n}}}$", "").cast(kind).alias("delivery_id")
+    p = tables["call_call_data_parties"].where(F.col("id").isNotNull()).select(head(1), step(-1).cast("int").alias("i"), "id", "speakerId")
+    party = p.select("delivery_id", F.lit("party").alias("kind"), F.lit("").alias("parent_key"), F.col("id").alias("node_key"))
+    first = p.where(F.col("speakerId").isNotNull()).groupBy("delivery_id", "speakerId").agg(F.min_by("id", "i").alias("id"))
+    t = tables["call_transcript_transcript"].select(head(1), "speakerId", step(-1).alias("node_key"))
+    turn = t.join(first, ["delivery_id", "speakerId"], "left").select("delivery_id", F.lit("turn").alias("kind"), F.coalesce("id", F.lit("")).alias("parent_key"), "node_key")
+    s = tables["call_transcript_transcript_sentences"]
+    sentence = s.select(head(2), F.lit("sentence").alias("kind"), step(-2).alias("parent_key"), F.concat_ws(".", step(-2), step(-1)).alias("node_key"))
+    obj = tables["call_objects"].select("delivery_id", F.lit("object").alias("kind"), "parent_key", "node_key")
     return party.unionByName(turn).unionByName(sentence).unionByName(obj)

@@ -35,6 +35,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return inlining.call_nodes(table(spark, d, "raw_calls", "delivery_id", "call_data", "transcript"))
 
 
+def p4_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the objects inside customData, with keys and inlined attributes."""
+    return inlining.call_tables(table(spark, d, "raw_calls", "delivery_id", "call_data", "transcript"))["call_objects"]
+
+
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentence table of the schema graph, with its own and its turn's key."""
     calls = table(spark, d, "raw_calls", "delivery_id", "transcript")
@@ -59,7 +64,7 @@ def p5_zones(spark: SparkSession, d: str) -> DataFrame:
     return instants.estimate_zones(mock, ["source_tz"], "occurred_at", "loaded_at", CANDIDATES)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p4_found, p4_sentences, p5_found, p5_zones)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p4_found, p4_objects, p4_sentences, p5_found, p5_zones)}
 
 _REFS = """refs as (
   select 'mock.account_id' as ref_field, cast(entry_no as varchar) as record_key, account_id as raw, null as own, loaded_at as t from mock
