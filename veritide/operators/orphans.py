@@ -4,12 +4,13 @@
 
 * index   (ref_field, key, known_from, spans)  - when a key's rows were loaded and the disjoint spans in which one is alive
 * pending (ref rows that found no row at all)  - waiting for a parent
-* tally   (ref_field, key, period, n)          - all references so far, pre-aggregated, for snapshots
+* tally   (ref_field, key, period, lost, n)    - all references so far that a snapshot may count, pre-aggregated; `lost`
+  marks NEW-n ids that their own row lacks: nothing can close those
 
 A step's references probe the index (with that step's parents already in it, since spans carry times). What fails is
 `deleted`, `late` or still waiting. An arriving parent resolves the waiting rows of its key, which then are `late`. A
 deletion reopens references: the snapshot after a step counts every reference whose key is not alive at that time, from
-the tally, so reopened ones are in it without touching reference rows again.
+the tally as that step wrote it, so reopened ones are in it without touching reference rows again.
 
 Hot keys: references are never grouped by key, only joined to one index row per key (a broadcast while the index is
 small by Spark's own size check, else a shuffled join that adaptive execution splits on skew). Parents are deduplicated
@@ -98,6 +99,8 @@ class OrphanTracker:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.n = spark, folder or shared_dir(spark, "orphans"), 0
+        #: One per step that was given its time: (step, ref_field, period, open_refs, open_keys), read from that step's state.
+        self.snapshots: list[DataFrame] = []
 
     def _save(self, df: DataFrame, state: str) -> DataFrame:
         path = f"{self.folder}/{state}/step={self.n}"
@@ -107,8 +110,8 @@ class OrphanTracker:
     def _at(self, state: str, n: int, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{state}/step={n}")
 
-    def step(self, refs: DataFrame, parents: DataFrame) -> None:
-        """Take in one delivery of references and of parent rows (a parent's deletion comes with its row)."""
+    def step(self, refs: DataFrame, parents: DataFrame, at: Column | None = None) -> None:
+        """Take in one delivery of references and of parent rows (a parent's deletion comes with its row), up to the time `at`."""
         self.n += 1
         spans = parent_spans(parents)
         if self.n > 1:
@@ -128,21 +131,38 @@ class OrphanTracker:
                          found.where((F.col("reason") != "missing") | F.col("local_hit").isNotNull()),
                          self._save(probed.where(F.col("known")).drop("known").withColumn("reason", F.when(F.col("loaded_at").isNull(), "deleted").otherwise("late")), "resolved")]
         self._pending = self._save(probed.where(F.col("known").isNull()).drop("known"), "pending")
+        tally = _tally(refs)
+        if self.n > 1:
+            tally = self._counts.unionByName(tally).groupBy("ref_field", "key", "period", "lost").agg(F.sum("n").alias("n"))
+        self._counts = self._save(tally, "tally")
+        if at is not None:
+            self.snapshots.append(self._open(self._counts, at).select(F.lit(self.n).alias("step"), "*"))
 
     def orphans(self) -> DataFrame:
         """All references that did not hold when loaded, with what is known of the reason by now."""
         return reduce(DataFrame.unionByName, [*self._settled, self._pending]).select(
             "ref_field", "record_key", "reason", iso_week(F.col("loaded_at")).alias("period"))
 
-    def snapshot(self, refs: DataFrame, at: Column) -> DataFrame:
-        """Open references by field and ISO week as of `at`: arrivals have closed, deletions reopened them. refs is pre-aggregated."""
-        tally = refs.where(F.col("local_hit").isNull() & (F.col("loaded_at") <= at)).groupBy(
-            "ref_field", "key", iso_week(F.col("loaded_at")).alias("period")).agg(F.count("*").alias("n"))
+    def _open(self, tally: DataFrame, at: Column) -> DataFrame:
         return (
-            tally.join(self._index, ["ref_field", "key"], "left").where(~F.coalesce(_alive(at), F.lit(False)))
+            tally.join(self._index, ["ref_field", "key"], "left").where(F.col("lost") | ~F.coalesce(_alive(at), F.lit(False)))
             .groupBy("ref_field", "period").agg(F.sum("n").alias("open_refs"), F.countDistinct("key").alias("open_keys"))
         )
 
+    def snapshot(self, refs: DataFrame, at: Column) -> DataFrame:
+        """Open references by field and ISO week as of `at`, any time: arrivals have closed, deletions reopened them.
+
+        As the tally knows no times within a week, refs are counted again; `snapshots` are those after each step, from state.
+        References without load time are counted.
+        """
+        return self._open(_tally(refs.where(F.coalesce(F.col("loaded_at") <= at, F.lit(True)))), at)
+
+
+def _tally(refs: DataFrame) -> DataFrame:
+    """References by key and week; those that their own row decides count only if it lacks them."""
+    return refs.where(F.coalesce(~F.col("local_hit"), F.lit(True))).groupBy(
+        "ref_field", "key", iso_week(F.col("loaded_at")).alias("period"), F.col("local_hit").isNotNull().alias("lost")).agg(F.count("*").alias("n"))
+
 
 def references(mock: DataFrame, proposals: DataFrame) -> DataFrame:
     """The three reference fields as (ref_field, record_key, key, local_hit, loaded_at).
@@ -177,7 +197,7 @@ def track(refs: DataFrame, rows: DataFrame, steps: int = 3, folder: str | None =
     tracker = OrphanTracker(spark, folder)
     for i in range(steps):
         if lo is None:
-            tracker.step(refs, rows)
+            tracker.step(refs, rows, F.lit(_NEVER).cast("timestamp_ntz"))
             break
         a, b = lo + (hi - lo) * i / steps, lo + (hi - lo) * (i + 1) / steps
         part = F.lit(True)
@@ -187,5 +207,5 @@ def track(refs: DataFrame, rows: DataFrame, steps: int = 3, folder: str | None =
             part = part & (F.col("loaded_at") <= F.lit(b))
         if not i:
             part = F.col("loaded_at").isNull() | part
-        tracker.step(refs.where(part), rows.where(part))
+        tracker.step(refs.where(part), rows.where(part), F.lit(b).cast("timestamp_ntz"))
     return tracker

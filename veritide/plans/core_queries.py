@@ -1,6 +1,8 @@
 """Queries of the core operators for dirty records: p2 (orphans), p4 (flattening), p5 (instants)."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import inlining, instants, orphans
@@ -24,11 +26,19 @@ def p2_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_open(spark: SparkSession, d: str) -> DataFrame:
-    """References open at the last load time of any row: arrivals have closed, deletions reopened them."""
+    """References open at the last load time of any reference: arrivals have closed, deletions reopened them.
+
+    As in its SQL, NEW-n ids are left out; `p2_snapshots` has them.
+    """
     refs, rows = _orphan_inputs(spark, d)
     tracker = orphans.track(refs, rows, steps=1)
     at = refs.agg(F.max("loaded_at")).first()[0]
-    return tracker.snapshot(refs, F.lit(at).cast("timestamp_ntz"))
+    return tracker.snapshot(refs.where("local_hit is null"), F.lit(at).cast("timestamp_ntz"))
+
+
+def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """All open references after each of three deliveries, from the tracker's state; NEW-n ids that their row lacks stay open."""
+    return reduce(DataFrame.unionByName, orphans.track(*_orphan_inputs(spark, d)).snapshots)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +74,7 @@ def p5_zones(spark: SparkSession, d: str) -> DataFrame:
     return instants.estimate_zones(mock, ["source_tz"], "occurred_at", "loaded_at", CANDIDATES)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p4_found, p4_objects, p4_sentences, p5_found, p5_zones)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p2_snapshots, p4_found, p4_objects, p4_sentences, p5_found, p5_zones)}
 
 _REFS = """refs as (
   select 'mock.account_id' as ref_field, cast(entry_no as varchar) as record_key, account_id as raw, null as own, loaded_at as t from mock
@@ -94,6 +104,12 @@ ORACLE = {
           where not (r.ref_field = 'editor_proposal.theme_id' and regexp_matches(r.key, '^new-[0-9]+$'))
           and not exists (select 1 from parents p where p.ref_field = r.ref_field and p.key = r.key and p.a <= now and (p.b is null or p.b > now)))
         select ref_field, period, count(*) as open_refs, count(distinct key) as open_keys from open group by all""",
+    "p2_snapshots": f"""with {_REFS}, span as (select min(epoch_us(t)) as lo, max(epoch_us(t)) as hi from (select t from r union all select a from parents)),
+        steps as (select s::int as step, make_timestamp(lo + round((hi - lo) * s / 3)::bigint) as now from span, unnest([1, 2, 3]) u(s)),
+        open as (select step, r.ref_field, strftime(r.t, '%G-W%V') as period, r.key from r join steps on r.t is null or r.t <= now
+          where case when r.ref_field = 'editor_proposal.theme_id' and regexp_matches(r.key, '^new-[0-9]+$') then not list_contains(r.own, r.key)
+            else not exists (select 1 from parents p where p.ref_field = r.ref_field and p.key = r.key and p.a <= now and (p.b is null or p.b > now)) end)
+        select step, ref_field, period, count(*) as open_refs, count(distinct key) as open_keys from open group by all""",
     "p4_sentences": """select delivery_id || '.' || (i - 1) || '.' || (j - 1) as row_key, delivery_id || '.' || (i - 1) as parent_key,
           transcript.transcript[i].sentences[j]."start" as "start", transcript.transcript[i].sentences[j]."end" as "end", transcript.transcript[i].sentences[j]."text" as "text"
         from raw_calls, unnest(range(1, len(transcript.transcript) + 1)) a(i), unnest(range(1, len(transcript.transcript[i].sentences) + 1)) b(j)""",
