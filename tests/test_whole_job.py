@@ -52,3 +52,23 @@ def test_lost_placeholders_stay_open_and_steps_keep_their_snapshots(spark):
     assert [n(t.snapshot(refs, at(d))) for d in (11, 16, 31)] == [3, 2, 4]  # b, new-1, z; then without b; then a twice
     assert [n(s) for s in t.snapshots] == [3, 4, 4]  # as of days 11, 21 and 31
     assert {p.name for p in __import__("pathlib").Path(t.folder.removeprefix("file://")).joinpath("tally").iterdir()} == {"step=1", "step=2", "step=3"}
+
+
+def test_summary_has_all_counters_reasons_and_kinds(spark):
+    from veritide.operators import audit
+
+    rows = [("read", "connect", "ok", '{"themes_opened": 2, "claims_extracted": true}'), ("withhold", "verify", "withheld", '{"count": 3}'), ("withhold", "verify", "withheld", "{}"),
+            ("reject", "verify", "rejected", '{"count": 4, "reason_code": "duplicate"}'), ("reject", "verify", "rejected", "no json"), ("scrub", "scrub", "ok", '{"EMAIL": 2, "NAME": null, "counts": {"EMAIL": 9, "NAME": 5}}'),
+            ("scrub", "scrub", "ok", '{"counts": {"PHONE": 1}}'), ("write", "store", "ok", '{"sources_read": 6, "EMAIL": 8}')]
+    got = audit.summary(spark.createDataFrame([("r", *r) for r in rows], "run_id string, action string, stage string, outcome string, detail string"), "run_id").first().asDict()
+    assert len(got) == 1 + 14 + 5 + 4
+    assert {k: v for k, v in got.items() if v} == {"run_id": "r", "sources_listed": 1, "sources_read": 6, "themes_opened": 2, "comments_withheld": 3, "claims_rejected": 5, "pii_redactions": 8,
+                                                   "rejected_duplicate": 4, "pii_email": 2, "pii_phone": 1, "pii_name": 5}
+
+
+def test_pii_of_documents_is_counted_in_the_texts(spark, tmp_path):
+    from veritide.plans import reference_queries as R
+
+    spark.createDataFrame([("Dana Ruiz",)], "name string").write.parquet(f"{tmp_path}/pii_names.parquet")
+    spark.createDataFrame([(1, "Dana Ruiz called", [("a@example.org, 612-555-0147",), (None,)], 9), (2, None, None, 9)], "doc_no long, title string, turns array<struct<text:string>>, stated int").write.parquet(f"{tmp_path}/gong_call.parquet")
+    assert sorted(tuple(r) for r in R.pii_counts_by_document(spark, str(tmp_path)).collect()) == [(1, 1, 1, 0, 1), (2, 0, 0, 0, 0)]

@@ -214,6 +214,18 @@ def pii_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gong_call", "source_id", "pii_counts").groupBy("source_id").agg(*[F.sum(f"pii_counts.{k}").alias(k.lower()) for k in ("EMAIL", "PHONE", "ADDRESS", "NAME")])
 
 
+@query()
+def pii_counts_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Items by kind in the title and the turns of each document, counted in the texts; the stored counts are not used."""
+    names = [r[0] for r in table(spark, d, "pii_names", "name").limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("more than 10,000 registered names: use the scanner of the text operators")
+    texts = F.concat(F.array("title"), F.coalesce(F.transform("turns", lambda t: t["text"]), F.array()))
+    _, counts = X.scrub(F.col("text"), names)
+    t = spread(table(spark, d, "gong_call", "doc_no", "title", "turns").select("doc_no", F.explode(texts).alias("text")))
+    return t.groupBy("doc_no").agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias(k.lower()) for k, v in counts.items()])
+
+
 # --- claims -------------------------------------------------------------------------------------------------------------
 
 _RES = f"""{_TURNS}, c as (select claim_id, loaded_at, verbatim, source_ref.call_id as call_id, source_ref.speaker_id as speaker_id, source_ref.start_ms as cs, source_ref.end_ms as ce from claims where source = 'gong'),
@@ -465,6 +477,15 @@ def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
     return audit.counters(log.unionByName(other), "event_type")
 
 
+@query()
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All counters, reasons and kinds over the event table read as a log, as in `audit_rollup`; `detail` is props as it stands."""
+    e = table(spark, d, "events", "event_type", "user_id", "props")
+    act = F.create_map(*[F.lit(x) for p in (("click", "withhold"), ("purchase", "propose"), ("signup", "approve"), ("view", "read")) for x in p])
+    return audit.summary(e.select("event_type", F.when(F.col("user_id") % 2 == 0, "connect").otherwise("extract").alias("stage"), F.replace("props", F.lit('"k"'), F.lit('"count"')).alias("detail"),
+                                  F.when(F.col("event_type") == "error", "rejected").otherwise("ok").alias("outcome"), F.coalesce(act[F.col("event_type")], F.lit("none")).alias("action")), "event_type")
+
+
 @query("select event_id, (props::json->>'k')::bigint as k from events")
 def json_counter_read(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id", "props").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
