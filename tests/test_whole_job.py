@@ -72,3 +72,14 @@ def test_pii_of_documents_is_counted_in_the_texts(spark, tmp_path):
     spark.createDataFrame([("Dana Ruiz",)], "name string").write.parquet(f"{tmp_path}/pii_names.parquet")
     spark.createDataFrame([(1, "Dana Ruiz called", [("a@example.org, 612-555-0147",), (None,)], 9), (2, None, None, 9)], "doc_no long, title string, turns array<struct<text:string>>, stated int").write.parquet(f"{tmp_path}/gong_call.parquet")
     assert sorted(tuple(r) for r in R.pii_counts_by_document(spark, str(tmp_path)).collect()) == [(1, 1, 1, 0, 1), (2, 0, 0, 0, 0)]
+
+
+def test_claim_rule_errors_reports_every_rule(spark, data, tmp_path):
+    from veritide.operators import rules
+    from veritide.plans import reference_queries as R
+
+    c = spark.read.parquet(f"{data}/claims.parquet").where("source = 'gong'").limit(1)
+    bad = {"claim_id": "x", "run_id": "2026", "source": "mail", "verbatim": "", "product_area": "none", "importance": "huge", "importance_reason": None, "speaker_side": "staff"}
+    none = c.withColumns({k: F.lit(v).cast("string") for k, v in bad.items()}).withColumn("source_ref", F.lit(None).cast(c.schema["source_ref"].dataType))
+    none.write.parquet(f"{tmp_path}/claims.parquet")
+    assert {r.error: r.n for r in R.claim_rule_errors(spark, str(tmp_path)).collect()} == {k: 1 for k in rules.claim_rules()}
