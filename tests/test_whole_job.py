@@ -74,6 +74,14 @@ def test_pii_of_documents_is_counted_in_the_texts(spark, tmp_path):
     assert sorted(tuple(r) for r in R.pii_counts_by_document(spark, str(tmp_path)).collect()) == [(1, 1, 1, 0, 1), (2, 0, 0, 0, 0)]
 
 
+def test_zones_are_estimated_for_all_four_sources(spark, data):
+    from veritide.plans import core_queries as Q
+
+    got = Q.p5_zones(spark, data).collect()
+    assert {r.src for r in got} == {"raw_calls.started", "raw_cases.CreatedDate", "raw_cases.comments.CreatedDate", "mock.occurred_at"}
+    assert len({(r.src, r.source_tz) for r in got}) == len(got)
+
+
 def test_claim_rule_errors_reports_every_rule(spark, data, tmp_path):
     from veritide.operators import rules
     from veritide.plans import reference_queries as R

@@ -56,11 +56,14 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return inlining.flatten(calls, "delivery_id", "call")["call_transcript_transcript_sentences"].select("row_key", "parent_key", "start", "end", "text")
 
 
+def _time_texts(spark: SparkSession, d: str) -> DataFrame:
+    return instants.time_texts(table(spark, d, "raw_calls", "delivery_id", "call_data", "source_tz", "loaded_at"),
+                               table(spark, d, "raw_cases", "row_no", "case_data", "comments", "source_tz", "loaded_at"),
+                               table(spark, d, "mock", "entry_no", "occurred_at", "source_tz", "loaded_at"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = instants.time_texts(table(spark, d, "raw_calls", "delivery_id", "call_data", "source_tz", "loaded_at"),
-                                table(spark, d, "raw_cases", "row_no", "case_data", "comments", "source_tz", "loaded_at"),
-                                table(spark, d, "mock", "entry_no", "occurred_at", "source_tz", "loaded_at"))
-    return instants.normalise(texts, "text", "zone").where(F.col("utc_us").isNotNull()).select("src", "record_key", "utc_us")
+    return instants.normalise(_time_texts(spark, d), "text", "zone").where(F.col("utc_us").isNotNull()).select("src", "record_key", "utc_us")
 
 
 #: Candidate histories for rows whose zone is to be estimated.
@@ -69,9 +72,8 @@ CANDIDATES = ["UTC", "America/Los_Angeles", "America/Phoenix", "America/Chicago"
 
 
 def p5_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The zone history that fits each declared zone's local texts best, judged by load times alone."""
-    mock = table(spark, d, "mock", "occurred_at", "source_tz", "loaded_at")
-    return instants.estimate_zones(mock, ["source_tz"], "occurred_at", "loaded_at", CANDIDATES)
+    """The zone history that fits the local texts of each source and declared zone best, judged by load times alone."""
+    return instants.estimate_zones(_time_texts(spark, d).withColumnRenamed("zone", "source_tz"), ["src", "source_tz"], "text", "loaded_at", CANDIDATES)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p2_snapshots, p4_found, p4_objects, p4_sentences, p5_found, p5_zones)}
