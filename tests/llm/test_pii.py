@@ -6,7 +6,7 @@ import pytest
 from veritide.llm import pii
 
 NAMES = ["Harold Pemberton-Vance", "Dana Ruiz", "Zoë van der Berg", "Sam O'Neil"]
-FRAMES = ["I spoke with {} about it.", "My name is {} and I run the desk.", "Best regards, {}", "It was {}'s seat that vanished.", "The Bank File and the Board Summary never reach {}."]
+FRAMES = ["{}", "{} | Finance", "I spoke with {} about it.", "My name is {} and I run the desk.", "Best regards, {}", "It was {}'s seat that vanished.", "The Bank File and the Board Summary never reach {}."]
 PLAIN = ["The Board Summary hides the Consent Flag.", "Das neue Postfach sendet zweimal die Freigabe der Kasse.", "Please send it before Friday.", "The Silver Birch Choir Association grant will close in May.", "Thanks for the Report."]
 
 
@@ -31,29 +31,31 @@ CASES = [
 
 @pytest.mark.parametrize("text,want", CASES)
 def test_items(model, text, want):
-    assert [(k, text[a:b]) for a, b, k in pii.Scanner(model)(text)] == want
+    assert [(k, text[a:b]) for a, b, k in pii.Field(model)(text)] == want
 
 
 def test_unregistered_people_are_found_in_new_sentences(model):
-    scan = pii.Scanner(model)
+    scan = pii.Field(model)
     found = sum(any(k == "NAME" for _, _, k in scan(f"I spoke with Dana {s} about it.")) for s in ("Ashgrove", "Tolmarsh", "Berrywick", "Oldcastle"))
     assert found == 4
 
 
-def test_messages_equal_enumeration_on_a_chain(model):
-    """On a tree message passing is exact: log odds against the sum over all labellings."""
-    scan = pii.Scanner(model)
-    unary, edges = np.array([0.5, -1.0, 2.0]), [(0, 1, 0.9), (1, 2, 1.2)]
-    got = scan._propagate(unary, edges)
-    w = lambda l: np.exp(sum(u * x for u, x in zip(unary, l)) + sum((c if l[a] == l[b] else 0) for a, b, c in edges))
-    every = list(itertools.product((0, 1), repeat=3))
+def test_messages_equal_enumeration_on_a_chain():
+    """On a tree message passing is exact: beliefs against the sum over all labellings."""
+    rng = np.random.default_rng(1)
+    unary, edge = rng.normal(size=(3, len(pii.LABELS))), rng.normal(size=(4, len(pii.LABELS), len(pii.LABELS)))
+    edges = np.array([(0, 1, pii.NEXT), (1, 2, pii.EQUAL)])
+    got = pii.beliefs(unary, edges, edge, 60)
+    weight = lambda l: np.exp(sum(unary[i, x] for i, x in enumerate(l)) + sum(edge[t, l[a], l[b]] for a, b, t in edges))
+    every = list(itertools.product(range(len(pii.LABELS)), repeat=3))
     for i in range(3):
-        want = np.log(sum(w(l) for l in every if l[i]) / sum(w(l) for l in every if not l[i]))
-        assert got[i] == pytest.approx(want, abs=0.05)
+        want = np.array([sum(weight(l) for l in every if l[i] == k) for k in range(len(pii.LABELS))])
+        p = np.exp(got[i] - got[i].max())
+        assert p / p.sum() == pytest.approx(want / want.sum(), abs=0.01)
 
 
 def test_a_clear_mention_settles_a_doubtful_one(model):
-    scan = pii.Scanner(model)
+    scan = pii.Field(model)
     text = "Reach Quillmark soon. I spoke with Dana Quillmark about it. Dr. Quillmark agreed."
     assert [text[a:b] for a, b, _ in scan(text)][-1] == "Quillmark" and len(scan(text)) >= 2
 
@@ -68,17 +70,75 @@ def test_redaction_and_frames(spark, model):
 
 
 def test_scrubbed_text_has_no_items_left(model):
-    scan = pii.Scanner(model)
+    scan = pii.Field(model)
     for text, _ in CASES:
         for a, b, k in reversed(scan(text)):
             text = f"{text[:a]}[{k}]{text[b:]}"
         assert scan(text) == []
 
 
-def test_empty_register_and_bound(spark, monkeypatch):
+def test_empty_register(spark):
     none = spark.createDataFrame([], "name string")
     m = pii.fit(spark.createDataFrame([("Some text.",)], "text string"), none)
-    assert [k for _, _, k in pii.Scanner(m)("Call 612-555-0147")] == ["PHONE"]
-    monkeypatch.setattr(pii, "MAX_REGISTER", 1)
-    with pytest.raises(ValueError):
-        pii.fit(none.toDF("text"), spark.createDataFrame([("A B",), ("C D",)], "name string"))
+    assert [k for _, _, k in pii.Field(m)("Call 612-555-0147")] == ["PHONE"]
+    m = pii.fit(none.toDF("text"), none)
+    assert [k for _, _, k in pii.Field(m)("Call 612-555-0147")] == ["PHONE"]
+
+
+def test_a_register_beyond_the_bound_gives_the_same_items(spark):
+    """Words looked up by a join instead of a broadcast."""
+    rows = [(i, f.format(n)) for i, (f, n) in enumerate(itertools.product(FRAMES, NAMES))] + [(i + 100, p) for i, p in enumerate(PLAIN * 3)] + [(900, None), (901, ""), (902, PLAIN[0])]
+    df, names = spark.createDataFrame(rows, "k long, text string"), spark.createDataFrame([(n,) for n in NAMES], "name string")
+    small, large = pii.fit(df, names), pii.fit(df, names, max_register=1)
+    assert "names" in large and not large["register"]["given"]
+    assert np.allclose(small["weights"], large["weights"])
+    got = [sorted(tuple(r) for r in pii.find(df, m).collect()) for m in (small, large)]
+    assert got[0] == got[1] and len(got[0]) >= len(FRAMES) * len(NAMES)
+    assert sorted((r.k, r.redacted) for r in pii.redact(df, large).collect() if r.redacted) == sorted((r.k, r.redacted) for r in pii.redact(df, small).collect() if r.redacted)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, data):
+    from veritide.sources.tables import table
+
+    d = data.replace("sf0.001", "sf0.01")
+    texts = [r.text for r in pii.texts(table(spark, d, "raw_cases", "row_no", "comments"), table(spark, d, "gong_call", "doc_no", "participants")).collect() if r.text.strip()]
+    names = [r[0] for r in spark.read.parquet(f"{d}/pii_names.parquet").collect()]
+    return texts[::2], texts[1::2], names
+
+
+def test_people_are_found_with_the_register_withheld(corpus):
+    """Held-out texts, no word of the register known when scanning: at least 0.9 of the names are still found."""
+    fit, held, names = corpus
+    m = pii.train(fit, pii.read_register(names))
+    blind = m | {"register": {"given": set(), "surname": set(), "full": set()}}
+    items = lambda model: {(i, a, k) for i, hits in enumerate(pii.Field(model).spans(held)) for a, _, k in hits}
+    want, got = items(m), items(blind)
+    names_of = lambda s: {x for x in s if x[2] == "NAME"}
+    assert len(names_of(want) & names_of(got)) >= 0.9 * len(names_of(want)) and len(names_of(want) & names_of(got)) >= 0.9 * len(names_of(got))
+    assert want - names_of(want) == got - names_of(got)
+
+
+def test_edges_raise_recall_on_unregistered_people(corpus):
+    """Ablation: a person named clearly once and doubtfully far off; without edges the doubtful mention is lost more often."""
+    fit, _, names = corpus
+    m = pii.train(fit, pii.read_register(names))
+    people = ["Quillmark", "Tolmarsh", "Berrywick", "Oldcastle", "Fernhollow", "Ashgrove", "Ravenshaw", "Thistlewood"]
+    doubt = ["{} rejected the form.", "The list went to {} again.", "{} closes the month early.", "Forms by {} are late."]
+    texts = [f"I spoke with Dana {p} about it. " + "The waitlist rule hides the late fee. " * 8 + d.format(p) for p in people for d in doubt]
+
+    def recall(edges: bool) -> float:
+        f = pii.Field(m)
+        if not edges:
+            f.edge = np.zeros_like(f.edge)
+        return sum(any(a > 60 and t[a:b] in people for a, b, k in hits if k == "NAME") for t, hits in zip(texts, f.spans(texts))) / len(texts)
+
+    with_edges, without = recall(True), recall(False)
+    assert with_edges > without, (with_edges, without)
+
+
+def test_a_number_written_again_keeps_its_type(model):
+    """Skip edges between equal numbers: the second mention has no label of its own."""
+    scan = pii.Field(model)
+    text = "SSN: 948-46-4467 is on file. " + "The import stops. " * 10 + "We found 948464467 twice."
+    assert [k for *_, k in scan(text)] == ["ID", "ID"] and scan("We found 948464467 twice.") == []
