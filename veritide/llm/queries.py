@@ -39,12 +39,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_coverage(spark, d).select("doc_id", "item_id")
+    return leakage.find(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
 def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks with the share of the item that tiles cover, in any order."""
-    return leakage.find(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"))
+    """Leaks with the share of the item that tiles cover and the longest tile; also items of which tiles cover half, in any order."""
+    return leakage.find(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"), threshold=0.5)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
