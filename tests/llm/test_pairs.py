@@ -28,3 +28,38 @@ def test_frame(spark):
     got = sorted(tuple(x) for x in defects(df, "rec_no", "q", "a", "r").collect())
     assert got == sorted([(i, d) for i, c in enumerate(CASES) for d in c[3]] + [(998, "copy")])
     assert defects(df.limit(0), "rec_no", "q", "a", "r").count() == 0
+
+
+# Phrasings that are in no list above; a share of them may be missed.
+HELD_OUT = """I am not going to answer that.|That's not something I can help with.|My guidelines do not allow me to discuss this.|We are not able to comment on individual accounts.|I'd rather not speculate about the cause.|I must decline to answer.|Sorry, but I won't be discussing that.|No comment.
+Das darf ich nicht beantworten.|Meine Richtlinien erlauben das nicht.|Ich lehne es ab, darüber zu sprechen.|Es tut mir leid, aber dazu kann ich keine Auskunft geben.
+Je ne répondrai pas à cette question.|Mes consignes m'empêchent d'en parler.|Je m'abstiens de tout commentaire.
+No responderé a esa pregunta.|Mis directrices no me permiten hablar de ello.|No estoy autorizada para comentar eso.
+Não responderei a essa pergunta.|As minhas diretrizes não permitem falar disso.|Não estou autorizado a comentar.
+Non posso rispondere a questa domanda.|Mi dispiace, ma non sono in grado di commentare.|Preferisco non esprimermi su questo punto.
+Ik kan deze vraag helaas niet beantwoorden.|Daar mag ik niets over zeggen.|Het spijt me, maar ik ga daar niet op in.
+Я не имею права обсуждать это.|Мои правила не позволяют отвечать.|Извините, я отказываюсь отвечать.
+عذرًا، لا أستطيع الإجابة عن هذا السؤال.|لا يمكنني التعليق على ذلك.|أفضل عدم الخوض في هذا الموضوع.
+죄송하지만 이 질문에는 답변을 드릴 수 없습니다.|그 부분은 말씀드리기 어렵습니다.|도움을 드릴 수 없습니다.
+क्षमा करें, मैं इस प्रश्न का उत्तर नहीं दे सकता।|मैं इस पर टिप्पणी नहीं कर सकती।|मुझे इस पर बोलने की अनुमति नहीं है।
+ขออภัย ฉันไม่สามารถตอบคำถามนี้ได้|ขอไม่แสดงความคิดเห็นในเรื่องนี้|ผมไม่อาจให้ข้อมูลนั้นได้
+Λυπάμαι, δεν μπορώ να απαντήσω σε αυτό.|Αδυνατώ να σχολιάσω.|Προτιμώ να μην πω τίποτα.
+この質問に答えることはできません。|コメントは差し控えます。|その件についての回答はできかねます。
+抱歉，我无法讨论这个问题。|对此我不予置评，也不能提供更多。|我的准则不允许回答。"""
+SOUND = """I can confirm that two accounts say so.|We could not find the invoice, so the import was repeated.|The import cannot match the shared mailbox.|Das Formular kann die Tickets nicht anzeigen.|Il ne manque pas de preuves dans ces extraits.|No hay dos cuentas iguales en la lista.|Non è la fattura, ma il modulo.|Het formulier toont de kaarten niet.|Импорт не может найти общий ящик.
+لا تزال القائمة بدون الحساب المشترك.|가져오기가 공유 계정을 찾을 수 없습니다.|आयात साझा खाते को नहीं दिखाता।|รายชื่อไม่ตรงกับราคา|Η λίστα δεν δείχνει την τιμή.|名簿は入場券を表示しません。|名单不能显示门票。|I said that it works.|We have nothing but praise for it."""
+
+
+def test_held_out_refusals():
+    judge = Judge()
+    said = [x for x in HELD_OUT.replace("\n", "|").split("|")]
+    missed = [x for x in said if not judge.refused(x)]
+    assert len(missed) <= 0.1 * len(said), missed
+    assert [x for x in SOUND.replace("\n", "|").split("|") if judge.refused(x)] == []
+
+
+def test_no_limit_of_length_or_number_of_openings():
+    judge = Judge()
+    assert judge.refused("Sorry. " * 9 + "I cannot answer that.")
+    for n in (1, 20, 60):  # a long first sentence is looked at whole
+        assert not judge.refused("Of course, " * n + "I cannot say more than the claims do.")

@@ -25,8 +25,8 @@ NOTHING = """none|null|nil|nan|n/a|na|n.a|k.a|s/o|tbd|tba|todo|undefined|unknown
 keine|keine antwort|nichts|leer|aucun|aucune|néant|vide|rien|ninguno|ninguna|nada|vacío|sin respuesta|nenhum|nenhuma|vazio|sem resposta|нет|なし|無し|无|空"""
 # Polite openings before a refusal.
 OPENINGS = r"""(?:good (?:point|question)|great question|thank you(?: for (?:the|your) question)?|thanks(?: for asking)?|i (?:looked|searched|went) through (?:all|the) excerpts|
-i (?:have )?(?:read|checked) (?:all|the) (?:excerpts|claims)|sorry|i am sorry|i'm sorry|i apologi[sz]e|unfortunately|of course|certainly|
-danke(?: für die frage)?|vielen dank(?: für die frage)?|gute frage|guter punkt|tut mir leid|leider|es tut mir leid|ich habe alle auszüge (?:gelesen|durchgesehen|geprüft)|
+i (?:have )?(?:read|checked) (?:all|the) (?:excerpts|claims)|sorry(?:,? but)?|i am (?:so |very |really )?sorry(?:,? but)?|i'm (?:so |very |really )?(?:sorry|afraid)(?:,? but| that)?|my apologies(?:,? but)?|i apologi[sz]e(?:,? but)?|regrettably|unfortunately|of course|certainly|
+(?:es )?tut mir (?:sehr )?leid(?:,? aber)?|danke(?: für die frage)?|vielen dank(?: für die frage)?|gute frage|guter punkt|tut mir leid|leider|es tut mir leid|ich habe alle auszüge (?:gelesen|durchgesehen|geprüft)|
 merci(?: pour (?:la|votre) question| de la question)?|bonne question|désolée?|je suis désolée?|malheureusement|j'ai (?:lu|parcouru|relu) tous les extraits|
 gracias(?: por la pregunta)?|buena pregunta|buen punto|lo siento|lamentablemente|por desgracia|he (?:leído|revisado) todos los extractos|
 obrigad[oa](?: pela pergunta)?|boa pergunta|bom ponto|lamento|infelizmente|desculpe|li todos os excertos|revi todos os excertos)\s*[.,!:;–—-]*\s*"""
@@ -61,6 +61,38 @@ REFUSALS = {
     "ja": r"(?:申し訳(?:ありません|ございません)[がけ]?.{0,6}|残念ながら)?.{0,40}(?:お答え(?:でき(?:ません|かねます))|回答(?:でき|を控え|はできません)|お手伝いできません|申し上げられません|述べることはできません|わかりかねます|(?:抜粋|資料|保管庫)に(?:は|も).{0,20}(?:ありません|ません))",
     "zh": r"(?:抱歉|对不起|很遗憾)?[，,]?.{0,6}(?:我(?:无法|不能|不便|不会|没法|恐怕)|无法(?:回答|就此|对此)|摘录(?:中|里)?(?:没有|未)|没有(?:任何)?主题)",
 }
+# A grammar of refusals by language: who speaks, that they cannot or will not, and what (apostrophes straight, small letters).
+_EN_ACT = r"(?:answer|reply|respond|discuss|comment|help|assist|say|talk|speak|speculate|guess|share|provide|give|tell|go into|weigh in|disclose|offer|address|advise|do (?:that|this|so)|engage|elaborate|offering|answering|discussing|commenting|helping|sharing|speculating|guessing|providing|giving|going into|touch on)"
+GRAMMAR = {
+    "en": rf"""(?:as an? [a-z -]{{0,40}}?(?:assistant|model|ai),? )?(?:(?:i|we|this assistant|the assistant)(?:'m| am|'re| are| is|'d| would| do|'ll| will| have| must)? ?
+        (?:can't|cannot|can not|could not|couldn't|won't|not going|not able|unable|not allowed|not permitted|not comfortable|not willing|unwilling|not authori[sz]ed|not in a position|not prepared|rather not|prefer not|not|decline|declining|refuse|refusing|refrain|refraining|have to decline|must decline|have to refuse|to decline|obliged to decline)\b
+        (?: (?:to|from|in|with|be|able|really|simply|possibly|any))* ?{_EN_ACT}\b|
+        (?:that|this|it)(?:'s| is) (?:not |isn't )(?:something|a (?:topic|question|subject|matter|request)|an area|anything)\b.{{0,30}}\b(?:i|we)(?: can|'m| am|'re| are| could)\b|
+        (?:that|this|it)(?:'s| is) (?:something|a (?:topic|question|subject|matter|request)|an area)\b.{{0,30}}\b(?:i|we) (?:can't|cannot|won't|am not|are not|must decline)\b|
+        (?:my|our|the) (?:guidelines?|polic(?:y|ies)|instructions?|rules?|programming|role|terms)\b.{{0,20}}?\b(?:do not|don't|does not|doesn't|prevents?|prohibits?|forbids?|keeps?|stops?|bars?|won't)\b|
+        (?:i|we) have (?:no|nothing) (?:comment|to (?:say|add|share|offer))\b|no comment\b)""",
+    "de": r"""(?:(?:das|dies|dazu|darauf|darüber|hierzu|davon|dabei|diese frage|dieser frage|diese anfrage)\b.{0,30}?\b(?:kann|darf|möchte|will|werde|muss) ich\b.{0,50}?\b(?:nicht|nichts|keine?|ablehnen|verzichten)\b|
+        (?:meine|unsere|die) (?:richtlinien|vorgaben|regeln|anweisungen|vorschriften)\b.{0,40}?\b(?:nicht|untersagen|verbieten|verhindern)\b|
+        ich (?:lehne|verzichte|weigere|enthalte)\b|dabei kann ich\b.{0,20}?\bnicht\b|es ist mir nicht (?:gestattet|erlaubt))""",
+    "fr": r"""(?:(?:mes|nos|les) (?:directives|consignes|règles|instructions)\b.{0,40}?\b(?:pas|interdisent|empêchent)\b|ce n'est pas (?:un sujet|une question|quelque chose)\b.{0,30}?\bje\b|
+        (?:je |nous )(?:ne (?:répondrai|commenterai|dirai|suis|peux|pouvons|sommes|pourrai)|m'abstiens|décline|refuse|préfère m'abstenir|ne souhaite)\b|je n'ai pas (?:le droit|l'autorisation)|je regrette,? mais)""",
+    "es": r"""(?:(?:mis|nuestras|las) (?:directrices|normas|pautas|instrucciones|reglas|políticas)\b.{0,20}?\b(?:no|impiden|prohíben)\b|(?:eso|esto) no es algo\b|no (?:responderé|comentaré|hablaré|diré|contestaré|estoy autorizad|tengo permitido|me corresponde|podemos)|
+        (?:me abstengo|me abstendré|rechazo|declino|prefiero (?:no|abstenerme))\b|no se me permite\b)""",
+    "pt": r"""(?:(?:as )?(?:minhas|nossas) (?:diretrizes|regras|instruções|normas|políticas)\b.{0,20}?\b(?:não|impedem|proíbem)\b|(?:isso|isto) não é algo\b|não (?:responderei|comentarei|falarei|direi|estou autorizad|me é permitido|podemos|me cabe)|
+        (?:abstenho-me|recuso|declino|prefiro (?:não|abster))\b)""",
+    "it": r"""(?:(?:mi (?:dispiace|spiace)|purtroppo|spiacente|scusi|scusa)\b[,.]? ?(?:ma )?)?(?:(?:a questo |su questo |di questo )?non (?:posso|possiamo|potrei|sono in grado|sono autorizzat\w|mi è (?:possibile|permesso|consentito)|intendo|voglio|desidero|risponderò|commenterò)\b|
+        preferi(?:sco|rei) non\b|(?:devo|sono costrett\w a) (?:rifiutare|declinare|astenermi)|mi (?:rifiuto|astengo|è impossibile)\b|(?:le mie|le nostre) (?:linee guida|regole|istruzioni|direttive)\b.{0,20}?\b(?:non|impediscono|vietano)\b|declino\b)""",
+    "nl": r"""(?:(?:het spijt me|sorry|helaas|mijn excuses)\b[,.]? ?(?:maar )?)?(?:(?:ik|wij|we) (?:kan|kunnen|mag|mogen|wil|willen|zal|zullen|ben|zijn|ga)\b.{0,50}?\b(?:niet|niets|geen)\b|(?:daar\w*|hier\w*|dat|deze vraag|dit|helaas)\b.{0,20}?\b(?:kan|mag|wil|ga|zal) ik\b.{0,40}?\b(?:niet|niets|geen)\b|
+        (?:kan|mag|wil) ik\b.{0,40}?\b(?:niet|niets|geen)\b|het is (?:mij|me|voor mij) niet (?:mogelijk|toegestaan)|ik (?:weiger|onthoud)\b|(?:mijn|onze) (?:richtlijnen|regels|instructies)\b.{0,30}?\b(?:niet|geen|verbieden)\b)""",
+    "ru": r"""(?:(?:я |мы )?(?:не (?:могу|можем|буду|имею права|стану|готов|вправе)|отказываюсь|воздержусь|предпоч(?:ту|итаю) не)\b|мне (?:нельзя|запрещено|не разрешено|не положено)|(?:мои|наши) (?:правила|инструкции|указания)\b.{0,30}?(?:не позволяют|не разрешают|запрещают)|это не то,? о ч[её]м я)""",
+    "ar": r"""(?:(?:عذرا|عذراً|آسف|آسفة|أنا آسف|للأسف|أعتذر|معذرة|مع الأسف|يؤسفني)[^.؟!]{0,12}?)?(?:ولكن(?:ني|ي)? ?|لكن(?:ني|ي)? ?)?(?:أنني |أني |إنني |إني )?(?:لا (?:أستطيع|يمكنني|أقدر|يسعني|أريد|أود|يحق لي|يسمح لي|نستطيع|يمكننا|يجوز لي)|لن (?:أجيب|أتمكن|أستطيع|أعلق|أناقش)|لست (?:قادرا|قادراً|مخولا|مخولاً|في وضع|مؤهلا)|ليس (?:بإمكاني|في وسعي|بوسعي|لدي ما|من صلاحياتي)|أفضل (?:عدم|ألا|أن لا)|أرفض|أمتنع|يتعذر علي|(?:إرشاداتي|قواعدي|سياستي|تعليماتي|سياساتنا) (?:لا تسمح|تمنع))""",
+    "ko": r"""(?:(?:죄송|유감|아쉽|미안|안타깝)[^.!?]{0,40}?)?[^.!?]{0,50}?(?:(?:답변|대답|도움|도와|말씀|언급|논의|의견|설명|답)[^.!?]{0,12}?(?:드릴|드리기|할|하기|줄|주기|드리지|하지|해드릴) ?(?:수(?:가|는)? ?없|어렵|어려울|곤란|힘들|못하|않겠|않습)|답할 수 없|답변을 (?:거절|거부|삼가)|응답할 수 없|허용되지 않아 답|제 (?:지침|규정)[^.!?]{0,12}허용하지)""",
+    "hi": r"""(?:(?:क्षमा करें|क्षमा कीजिए|माफ़ कीजिए|माफ़ करें|माफ करें|खेद है|दुर्भाग्य से|मुझे खेद है)[^।?!]{0,10}?)?(?:लेकिन |कि |पर )?(?:(?:मैं|हम)\b[^।?!]{0,80}?(?:नहीं (?:कर|दे|बता|कह|बोल) ?(?:सकता|सकती|सकते|पाऊँगा|पाऊंगा|पाऊँगी|पाएँगे)|नहीं (?:दूँगा|दूंगा|करूँगा|करूंगा|कहूँगा|बताऊँगा|चाहता|चाहूँगा)|असमर्थ|इनकार|मना कर)|मुझे[^।?!]{0,40}?अनुमति नहीं|मेरे (?:दिशानिर्देश|नियम)[^।?!]{0,40}?(?:नहीं|रोकते))""",
+    "th": r"""(?:(?:ขออภัย|ขอโทษ|เสียใจ|น่าเสียดาย)[^.?!]{0,20}?)?(?:แต่)?(?:ผม|ฉัน|ดิฉัน|เรา|ข้าพเจ้า)?[^.?!]{0,16}?(?:ไม่สามารถ|ไม่อาจ|ขอไม่|ไม่ขอ|ปฏิเสธที่จะ|ขอปฏิเสธ|ไม่ได้รับอนุญาตให้|ไม่สะดวกที่จะ|ไม่ประสงค์จะ)[^.?!]{0,16}?(?:ตอบ|ช่วย|ให้|แสดง|พูด|บอก|อธิบาย|กล่าว|คาดเดา)""",
+    "el": r"""(?:(?:λυπάμαι|λυπούμαι|δυστυχώς|συγγνώμη|με συγχωρείτε)\b[,.]? ?(?:αλλά )?)?(?:(?:εγώ )?δεν (?:μπορώ|μπορούμε|δύναμαι|είμαι σε θέση|μου επιτρέπεται|επιτρέπεται να|θα (?:απαντήσω|σχολιάσω|μπορέσω)|θέλω να|επιθυμώ)|αδυνατώ|αρνούμαι|προτιμώ να μην|οφείλω να αρνηθώ|(?:οι )?(?:οδηγίες|κανόνες|κατευθύνσεις) μου\b.{0,20}?\b(?:δεν|απαγορεύουν))""",
+    "ja": r"""(?:.{0,40}?(?:答える|回答する|お話しする|コメントする|お手伝いする|説明する|議論する)(?:こと|の)(?:は|が|も)(?:でき(?:ません|ない|かね)|難し|控え)|.{0,30}?(?:回答|コメント|お答え|言及)(?:は|を)?(?:差し控え|控えさせ|いたしかね|できかね|お断り)|.{0,20}?(?:ガイドライン|規則|方針).{0,30}?(?:許可|認め|許さ|禁じ).{0,12}?(?:ません|ない|ています))""",
+    "zh": r"""(?:(?:抱歉|对不起|很遗憾|不好意思|很抱歉)[，,。]?)?(?:但|不过)?(?:关于|对于)?[^。！？]{0,14}?(?:我|我们)?(?:无法|不能|不便|不会|没办法|没法|拒绝|不愿|不打算|难以|恕难|恕不|无权|不被允许)(?:就|对|为|向|再|直接|给)?[^。！？]{0,12}?(?:回答|答复|讨论|评论|提供|帮|协助|透露|说明|告诉|置评|猜测|作答)|(?:我的|我们的)(?:准则|规定|指引|政策|原则)[^。！？]{0,10}?(?:不允许|禁止|不准)|这不是我(?:能|可以|应该)""",
+}
 #: After an inability that is no refusal ("I cannot say more than the claims do, but ...").
 NOT_REFUSALS = r"(?:cannot|can't|could not|couldn't) (?:say|add|tell you) (?:any ?)?(?:more|further)\b.{0,40}\b(?:but|yet|than)|nicht mehr sagen als|ne peux (?:pas )?(?:en )?dire (?:plus|davantage) que|no puedo decir más (?:que|de lo)|não posso dizer mais do que|cannot (?:stress|overstate|emphasi[sz]e)|не могу сказать больше"
 # Frequent function words of languages written in Latin letters.
@@ -92,9 +124,11 @@ class Judge:
                 self.owner.setdefault(w, []).append(lang)
         flat = lambda p: re.sub(r"\n\s*", "", p)
         self.opening = regex.compile(flat(OPENINGS))
-        self.refusal = regex.compile("(?:" + "|".join(f"(?:{flat(p)})" for p in REFUSALS.values()) + ")", regex.S)
+        self.refusal = regex.compile("(?:" + "|".join(f"(?:{flat(p)})" for p in [*REFUSALS.values(), *GRAMMAR.values()]) + ")", regex.S)
+        self.sentence = regex.compile(r"[^.!?。！？।؟]*")
         self.not_refusal = regex.compile(NOT_REFUSALS)
         self.nothing = {w for w in flat(NOTHING).split("|")}
+        self.longest = max(map(len, self.nothing))
         self.citation = re.compile(_CITATION)
         self.quoted = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|「[^」]*」|『[^』]*』")
         self.label = regex.compile(r"^[\s\W]*(?:(?:the |my |your )?(?:q|a|question|answer|prompt|response|reply|frage|antwort|réponse|pregunta|respuesta|pergunta|resposta|вопрос|ответ|質問|回答|问题|答案|問題)\s*\d*\s*[:：.)–—-]\s*)+", regex.I)
@@ -104,6 +138,11 @@ class Judge:
         if not text:
             return ""
         s = self.hidden.sub(" ", text).strip()
+        n = 0
+        for c in s:  # more letters than any stand-in has: something is said
+            n += c.isalnum()
+            if n > self.longest:
+                return s
         core = "".join(c if c.isalnum() or c in "/." else " " for c in s.casefold()).strip(" ./")
         core = " ".join(core.split())
         return "" if not core or core in self.nothing else s
@@ -141,15 +180,15 @@ class Judge:
 
     def refused(self, text: str) -> bool:
         s = self.quoted.sub(" ", text).replace("’", "'").casefold().strip(" \t\r\n-–—*•")
-        for _ in range(4):
-            if self.not_refusal.search(s[:200]):
+        while s:
+            if self.not_refusal.search(self.sentence.match(s)[0]):
                 return False
             if self.refusal.match(s):
                 return True
             m = self.opening.match(s)
             if not m or not m.end():
                 return False
-            s = s[m.end() :]
+            s = s[m.end() :]  # openings are taken off one by one, however many
         return False
 
     def cut(self, text: str) -> bool:
@@ -176,7 +215,7 @@ class Judge:
         core = self.citation.sub(" ", self.quoted.sub(" ", text))
         if len(self.tokens(core)) < 3:
             core = self.citation.sub(" ", text)
-        n = {k: len(p.findall(core)) for k, p in self.scripts}
+        n = {k: 0 for k, _ in self.scripts} | {"latin": 1 if any(map(str.isalpha, core)) else 0} if core.isascii() else {k: len(p.findall(core)) for k, p in self.scripts}
         if n["ja"]:
             n["ja"] += n["zh"]
             n["zh"] = 0
