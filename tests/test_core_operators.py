@@ -55,11 +55,65 @@ def test_orphans_of_empty_tables(spark):
 def test_deletion_reopens_and_arrival_closes_in_snapshots(spark):
     refs = spark.createDataFrame([("f", "1", "a", None, DAY(5)), ("f", "2", "b", None, DAY(5))], REF)
     parents = spark.createDataFrame([("f", "a", DAY(1), DAY(10)), ("f", "b", DAY(8), None)], PAR)
-    t = orphans.track(refs, parents, 1)
-    open_keys = lambda d: sum(r.open_keys for r in t.snapshot(refs, F.lit(DAY(d)).cast("timestamp_ntz")).collect())
+    t = orphans.track(refs, parents, 1, tally=True)
+    open_keys = lambda d: sum(r.open_keys for r in t.snapshot(F.lit(DAY(d)).cast("timestamp_ntz")).collect())
     assert [open_keys(6), open_keys(9), open_keys(12)] == [1, 0, 1]
 
 
+def frames(spark, refs, parents):
+    return spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR)
+
+
+def test_a_deletion_delivered_later_reopens(spark):
+    t = orphans.OrphanTracker(spark)
+    t.step(*frames(spark, [("f", "before", "k", None, DAY(3)), ("f", "held", "k", None, DAY(7))], [("f", "k", DAY(1), None)]))
+    assert t.orphans().count() == 0
+    t.step(*frames(spark, [("f", "after", "k", None, DAY(9))], [("f", "k", DAY(1), DAY(5))]))
+    assert sorted((r.record_key, r.reason) for r in t.orphans().collect()) == [("after", "deleted"), ("held", "deleted")]
+
+
+def test_a_parent_loaded_before_but_delivered_later_closes(spark):
+    t = orphans.OrphanTracker(spark)
+    t.step(*frames(spark, [("f", "r", "k", None, DAY(5)), ("f", "late", "k", None, DAY(1))], []))
+    assert {r.reason for r in t.orphans().collect()} == {"missing"}
+    t.step(*frames(spark, [], [("f", "k", DAY(2), None)]))
+    assert [(r.record_key, r.reason) for r in t.orphans().collect()] == [("late", "late")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_randomly_delayed_deliveries_equal_brute_force(spark, seed):
+    """Rows of both sides come in any order, some again with a deletion; the end is as if all had been known at once."""
+    rng = random.Random(seed)
+    day = lambda: DAY(rng.randint(1, 28), rng.randint(0, 23))
+    t, steps, refs, last = orphans.OrphanTracker(spark, tally=True, buckets=rng.choice([1, 3])), 4, [], {}
+    for n in range(steps):
+        r = [("f", f"{n}:{i}", f"k{rng.randint(0, 7)}", None, rng.choice([day(), day(), day(), None])) for i in range(30)] + [("f", f"{n}:x", "new-1", rng.random() < 0.5, day())]
+        p = [("f", f"k{rng.randint(0, 6)}", a := day(), rng.choice([None, a + dt.timedelta(hours=rng.randint(-5, 200))])) for _ in range(4)]
+        again = [(f, k, a, a + dt.timedelta(hours=rng.randint(1, 99))) for (f, k, a), _ in rng.sample(sorted(last.items()), min(2, len(last)))]
+        now = {}
+        for f, k, a, b in p + again:
+            key = (f, k, a)
+            now[key] = None if b is None or key in now and now[key] is None else max(b, now.get(key, b))
+        last |= now
+        refs += r
+        t.step(*frames(spark, r, p + again))
+        rows = [(f, k, a, b) for (f, k, a), b in last.items()]
+        assert Counter(map(tuple, t.orphans().collect())) == brute(refs, rows)
+        at = DAY(28, 23) + dt.timedelta(days=9)
+        want = Counter()
+        for f, _, k, hit, x in refs:
+            if hit is False or hit is None and not any(q[1] == k and q[2] <= at and (q[3] is None or q[3] > at) for q in rows):
+                want[f, None if x is None else "%04d-W%02d" % x.isocalendar()[:2]] += 1
+        assert {(r.ref_field, r.period): r.open_refs for r in t.snapshot(F.lit(at).cast("timestamp_ntz")).collect()} == want
+
+
+def test_only_buckets_with_news_are_rewritten(spark):
+    t = orphans.OrphanTracker(spark, buckets=16)
+    t.step(*frames(spark, [], [("f", f"k{i}", DAY(1), None) for i in range(40)]))
+    t.step(*frames(spark, [("f", "1", "k5", None, DAY(3))], [("f", "k5", DAY(1), DAY(2))]))
+    assert sorted(t.written.values()).count(2) == 1 and [r.reason for r in t.orphans().collect()] == ["deleted"]
+
+
 def test_keys_ignore_case_and_outer_blanks(spark):
     df = spark.createDataFrame([(" \tACC-1 ",), ("",), (" ",), (None,)], "k string")
     assert [r[0] for r in df.select(orphans.norm_key(F.col("k"))).collect()] == ["acc-1", None, None, None]

@@ -46,12 +46,12 @@ def test_lost_placeholders_stay_open_and_steps_keep_their_snapshots(spark):
     ref = "ref_field string, record_key string, key string, local_hit boolean, loaded_at timestamp_ntz"
     refs = spark.createDataFrame([("f", "1", "a", None, day(1)), ("f", "2", "b", None, day(2)), ("f", "3", "new-1", False, day(2)), ("f", "4", "new-2", True, day(2)), ("f", "5", "a", None, day(3)), ("f", "6", "z", None, None)], ref)
     rows = spark.createDataFrame([("f", "a", day(1), day(20)), ("f", "b", day(15), None), ("f", "x", day(31), None)], "ref_field string, key string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
-    t = orphans.track(refs, rows, 3)
+    t = orphans.track(refs, rows, 3, tally=True)
     n = lambda df: sum(r.open_refs for r in df.collect())
     at = lambda d: F.lit(day(d)).cast("timestamp_ntz")
-    assert [n(t.snapshot(refs, at(d))) for d in (11, 16, 31)] == [3, 2, 4]  # b, new-1, z; then without b; then a twice
+    assert [n(t.snapshot(at(d))) for d in (11, 16, 31)] == [3, 2, 4]  # b, new-1, z; then without b; then a twice
     assert [n(s) for s in t.snapshots] == [3, 4, 4]  # as of days 11, 21 and 31
-    assert {p.name for p in __import__("pathlib").Path(t.folder.removeprefix("file://")).joinpath("tally").iterdir()} == {"step=1", "step=2", "step=3"}
+    assert {p.name for p in __import__("pathlib").Path(t.folder.removeprefix("file://")).joinpath("tally").glob("step=*")} == {"step=1", "step=2", "step=3"}
 
 
 def test_summary_has_all_counters_reasons_and_kinds(spark):

@@ -26,19 +26,14 @@ def p2_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_open(spark: SparkSession, d: str) -> DataFrame:
-    """References open at the last load time of any reference: arrivals have closed, deletions reopened them.
-
-    As in its SQL, NEW-n ids are left out; `p2_snapshots` has them.
-    """
-    refs, rows = _orphan_inputs(spark, d)
-    tracker = orphans.track(refs, rows, steps=1)
-    at = refs.agg(F.max("loaded_at")).first()[0]
-    return tracker.snapshot(refs.where("local_hit is null"), F.lit(at).cast("timestamp_ntz"))
+    """References open at the last load time of any row: arrivals have closed, deletions reopened them; lost NEW-n ids stay open."""
+    tracker = orphans.track(*_orphan_inputs(spark, d), tally=True)
+    return tracker.snapshots[-1].drop("step")
 
 
 def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """All open references after each of three deliveries, from the tracker's state; NEW-n ids that their row lacks stay open."""
-    return reduce(DataFrame.unionByName, orphans.track(*_orphan_inputs(spark, d)).snapshots)
+    return reduce(DataFrame.unionByName, orphans.track(*_orphan_inputs(spark, d), tally=True).snapshots)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,10 +96,10 @@ o as (select ref_field, record_key, strftime(t, '%G-W%V') as period,
 ORACLE = {
     "p2_found": f"{_ORPHANS} select ref_field, record_key, reason, period from o where reason is not null",
     "p2_periods": f"{_ORPHANS} select ref_field, period, reason, count(*) as n from o where reason is not null group by all",
-    "p2_open": f"""with {_REFS}, top as (select max(t) as now from r),
+    "p2_open": f"""with {_REFS}, top as (select max(t) as now from (select t from r union all select a from parents)),
         open as (select r.ref_field, strftime(r.t, '%G-W%V') as period, r.key from r, top
-          where not (r.ref_field = 'editor_proposal.theme_id' and regexp_matches(r.key, '^new-[0-9]+$'))
-          and not exists (select 1 from parents p where p.ref_field = r.ref_field and p.key = r.key and p.a <= now and (p.b is null or p.b > now)))
+          where case when r.ref_field = 'editor_proposal.theme_id' and regexp_matches(r.key, '^new-[0-9]+$') then not list_contains(r.own, r.key)
+            else not exists (select 1 from parents p where p.ref_field = r.ref_field and p.key = r.key and p.a <= now and (p.b is null or p.b > now)) end)
         select ref_field, period, count(*) as open_refs, count(distinct key) as open_keys from open group by all""",
     "p2_snapshots": f"""with {_REFS}, span as (select min(epoch_us(t)) as lo, max(epoch_us(t)) as hi from (select t from r union all select a from parents)),
         steps as (select s::int as step, make_timestamp(lo + round((hi - lo) * s / 3)::bigint) as now from span, unnest([1, 2, 3]) u(s)),
