@@ -167,6 +167,19 @@ def test_deep_parser_agrees_with_the_usual_one():
             assert got == want
 
 
+def test_shared_structs_have_one_table_and_maps_theirs(spark):
+    address = "struct<street:string,town:string,tags:array<string>>"
+    df = spark.createDataFrame([(1, (("S1", "T1", ["x", "y"]), "A"), [("S2", "T2", None), None], {"k": ("S3", "T3", ["z"])}, {"n": 5}), (2, (None, "B"), None, None, {})],
+                               f"id int, owner struct<home:{address},name:string>, sites array<{address}>, named map<string,{address}>, counts map<string,int>")
+    t = inlining.flatten(df, "id", "root")
+    assert set(t) == {"root", "root_owner_home", "root_owner_home_tags", "root_counts"}
+    rows = sorted((r.parent_table, r.parent_key, r.row_key, r.town) for r in t["root_owner_home"].collect())
+    assert rows == [("root", "1", "1.named.k", "T3"), ("root", "1", "1.owner_home", "T1"), ("root", "1", "1.sites.0", "T2")]
+    assert sorted((r.parent_key, r.value) for r in t["root_owner_home_tags"].collect()) == sorted([("1.owner_home", "x"), ("1.owner_home", "y"), (next(r[2] for r in rows if r[3] == "T3"), "z")])
+    assert [(r.parent_key, r.key, r.value) for r in t["root_counts"].collect()] == [("1", "n", 5)]
+    assert sorted((r.row_key, r.owner_name) for r in t["root"].collect()) == [("1", "A"), ("2", "B")]
+
+
 def test_flatten_keeps_links_and_clashing_names(spark):
     schema = "id long, a struct<b: struct<c: string>>, a_b_c string, xs array<struct<n: int, ys array<string>>>, row_key string"
     df = spark.createDataFrame([(1, ((("u"),),), "v", [(5, ["p", None, "q"]), None, (6, None)], "k"), (2, None, None, None, None)], schema)
@@ -229,5 +242,34 @@ def test_zone_is_estimated_from_load_times(spark):
             local = (load - dt.timedelta(minutes=rng.randint(1, 50))).astimezone(ZoneInfo(zone))
             rows.append((zone, local.strftime("%Y-%m-%d %H:%M:%S"), load.replace(tzinfo=None)))
     df = spark.createDataFrame(rows, "g string, text string, loaded_at timestamp_ntz")
-    got = instants.estimate_zones(df, ["g"], "text", "loaded_at", ["UTC", "Asia/Kolkata", "Europe/London", "America/New_York", "America/Chicago"]).collect()
-    assert all(r.g == r.zone for r in got) and len(got) == 3
+    got = instants.estimate_zones(df, ["g"], "text", "loaded_at", [], ("America/New_York", "Europe/London")).collect()
+    assert {r.g: r.zone for r in got} == {z: z for z in ("America/New_York", "Europe/London", "Asia/Kolkata")} and all(r.n == 60 and r.violations == 0 for r in got)
+
+
+def test_lateness_is_learned_from_texts_that_name_their_instant(spark):
+    """Rows are loaded 20 to 30 hours late; only texts with an offset tell."""
+    from zoneinfo import ZoneInfo
+
+    rng, rows = random.Random(5), []
+    for zone in ("America/New_York", "Asia/Tokyo"):
+        for i in range(120):
+            load = dt.datetime(2026, 1, 1, tzinfo=UTC) + dt.timedelta(minutes=rng.randint(0, 500_000))
+            at = load - dt.timedelta(minutes=rng.randint(1200, 1800))
+            rows.append(("s", zone, at.strftime("%Y-%m-%dT%H:%M:%SZ") if i % 2 else at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), load.replace(tzinfo=None)))
+    df = spark.createDataFrame(rows + [("s", "none", None, None), ("s", "none", "no time", DAY(3))], "s string, g string, text string, loaded_at timestamp_ntz")
+    got = {r.g: r.zone for r in instants.estimate_zones(df, ["s", "g"], "text", "loaded_at", ["s"], ("America/New_York", "Asia/Tokyo")).collect()}
+    assert got == {"America/New_York": "America/New_York", "Asia/Tokyo": "Asia/Tokyo"}
+    assert instants.estimate_zones(df.limit(0), ["s", "g"], "text", "loaded_at", ["s"]).count() == 0
+
+
+def test_an_unknown_zone_name_takes_the_estimate_of_its_group(spark):
+    df = spark.createDataFrame([(1, "s", "2026-07-01 12:00", "Head office"), (2, "s", "2026-07-01 12:00", "Asia/Tokyo"), (3, "s", "2026-07-01 12:00", None), (4, "t", "2026-07-01 12:00", "Head office")], "i int, src string, text string, zone string")
+    e = spark.createDataFrame([("s", "Head office", "Europe/Paris")], "src string, declared string, zone string")
+    got = {r.i: r.utc_us for r in instants.normalise(df.withColumn("declared", F.col("zone")), "text", F.col("zone"), estimates=e).collect()}
+    hour = lambda h: int(dt.datetime(2026, 7, 1, h, tzinfo=UTC).timestamp()) * 10**6
+    assert got == {1: hour(10), 2: hour(3), 3: hour(12), 4: None}
+
+
+def test_long_digits_are_read(spark):
+    df = spark.createDataFrame([("2026-09-08 15:00:00." + "1" * 200 + "Z", "UTC")], "text string, zone string")
+    assert instants.normalise(df, "text", F.col("zone")).first().utc_us == int(dt.datetime(2026, 9, 8, 15, tzinfo=UTC).timestamp()) * 10**6 + 111111

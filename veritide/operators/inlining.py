@@ -1,7 +1,8 @@
 """Deeply nested records to flat tables by shared inlining.
 
-`plan_tables(schema)` walks the schema graph: a struct reached once per row is inlined into its parent's table (its leaves
-become columns `a_b_c`), an array becomes a table of its own with a foreign key to the parent. `flatten(df, key)` turns
+`plan_tables(schema)` walks the schema graph: a struct reached in one place is inlined into its parent's table (its leaves
+become columns `a_b_c`), an array or map becomes a table of its own with a foreign key to the parent, and a kind of struct
+reached in several places becomes one shared table whose rows tell their parent's table. `flatten(df, key)` turns
 that plan into DataFrames. Records inside a text column have no schema; their graph is recursive (an object may hold
 objects at any depth, under any name, also as JSON inside a JSON string), so each object carrying the id attribute goes to
 one shared table keyed by its nearest enclosing object, and everything between them is inlined into the attributes of the
@@ -13,8 +14,10 @@ a text that is no valid JSON has no nodes; names that clash after inlining get a
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -24,36 +27,80 @@ from ..session import spread
 
 @dataclass
 class Table:
-    """One flat table: `path` from the row (array steps only), inlined leaves as (column name, field path), child arrays."""
+    """One flat table: inlined leaves as (column name, field path), and the ways to it from the row.
+
+    A way is a chain of steps (name of the table reached, field path from the table before, kind): `array` explodes, `map` explodes
+    into key and value, `one` is a single struct that is shared and so has its table. A shared table has several ways.
+    """
 
     name: str
-    arrays: tuple[tuple[str, ...], ...]
+    ways: list[tuple[tuple[str, tuple[str, ...], str], ...]] = field(default_factory=list)
     columns: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
-    scalar: bool = False
+    shared: bool = False
+
+
+def _elements(t: T.DataType, found: Counter) -> None:
+    """How often each kind of struct is reached in the schema graph."""
+    if isinstance(t, T.StructType):
+        found[t.simpleString()] += 1
+        for f in t.fields:
+            _elements(f.dataType, found)
+    elif isinstance(t, T.ArrayType):
+        _elements(t.elementType, found)
+    elif isinstance(t, T.MapType):
+        _elements(t.valueType, found)
 
 
 def plan_tables(schema: T.StructType, root: str) -> list[Table]:
-    """Shared inlining over a schema graph: one table per repeated element, singletons inlined into it."""
-    tables: list[Table] = []
+    """Shared inlining over a schema graph.
+
+    A struct reached in one place is inlined into its parent's table; arrays and maps have a table of their own; a struct of at
+    least two fields reached in several places, as an element or by itself, has one table for all of them, named after the first place.
+    """
+    reached: Counter = Counter()
+    for f in schema.fields:
+        _elements(f.dataType, reached)
+    tables: dict[str, Table] = {}
+    shared: dict[str, str] = {}
+
+    def table(name: str, t: T.DataType) -> Table:
+        """The table of what a step reaches; that of its kind if the kind is shared."""
+        if isinstance(t, T.StructType) and len(t.fields) > 1 and reached[t.simpleString()] > 1:
+            name = shared.setdefault(t.simpleString(), name)
+        return tables.setdefault(name, Table(name, shared=name in shared.values()))
+
+    def step(t: T.DataType, at: Table, way: tuple, path: tuple[str, ...], kind: str) -> None:
+        child = table("_".join([at.name, *path]) if path else f"{at.name}_item", t)
+        fresh = not child.ways
+        child.ways.append((*way, (child.name, path, kind)))
+        if kind == "map" and not child.shared:
+            if fresh:
+                child.columns.append(("key", ("key",)))
+            walk(t, child, child.ways[-1], ("value",), fresh)
+        else:
+            walk(t, child, child.ways[-1], (), fresh)
 
-    def walk(t: T.DataType, table: Table, path: tuple[str, ...]) -> None:
+    def walk(t: T.DataType, at: Table, way: tuple, path: tuple[str, ...], fresh: bool) -> None:
         if isinstance(t, T.StructType):
             for f in t.fields:
-                walk(f.dataType, table, (*path, f.name))
+                x, p = f.dataType, (*path, f.name)
+                if isinstance(x, T.StructType) and len(x.fields) > 1 and reached[x.simpleString()] > 1:
+                    step(x, at, way, p, "one")
+                else:
+                    walk(x, at, way, p, fresh)
         elif isinstance(t, T.ArrayType):
-            child = Table("_".join([table.name, *path]) if path else f"{table.name}_item", (*table.arrays, path), scalar=not isinstance(t.elementType, (T.StructType, T.ArrayType)))
-            tables.append(child)
-            walk(t.elementType, child, ())
-        else:
-            name, taken, k = "_".join(path) or "value", {c for c, _ in table.columns}, 2
-            while name in taken or name in ("row_key", "parent_key"):
+            step(t.elementType, at, way, path, "array")
+        elif isinstance(t, T.MapType):
+            step(t.valueType, at, way, path, "map")
+        elif fresh:
+            name, taken, k = "_".join(path) or "value", {c for c, _ in at.columns}, 2
+            while name in taken or name in ("row_key", "parent_key", "parent_table"):
                 name, k = f"{'_'.join(path) or 'value'}_{k}", k + 1
-            table.columns.append((name, path))
+            at.columns.append((name, path))
 
-    top = Table(root, ())
-    tables.append(top)
-    walk(schema, top, ())
-    return tables
+    top = tables[root] = Table(root, [()])
+    walk(schema, top, (), (), True)
+    return list(tables.values())
 
 
 def _at(c: Column, path: tuple[str, ...]) -> Column:
@@ -65,21 +112,34 @@ def _at(c: Column, path: tuple[str, ...]) -> Column:
 def flatten(df: DataFrame, key: str, root: str) -> dict[str, DataFrame]:
     """Every table of the plan as a DataFrame with `row_key`, `parent_key` (null at the root) and its inlined columns.
 
-    Keys are `key` and the 0-based places in the arrays, joined by dots; a child's parent_key is its parent's row_key.
+    Keys are `key` and the 0-based places in the arrays (or map keys), joined by dots; a child's parent_key is its parent's row_key. Rows of
+    a shared table also name their `parent_table`, and their keys the field they are reached by, so keys of several places stay apart.
     """
-    out = {}
-    for t in plan_tables(df.schema, root):
-        if not t.arrays:
-            cur = df.select(F.col(key).cast("string").alias("__k"), F.struct("*").alias("__v"), F.lit(None).cast("string").alias("__p"))
-        else:
-            cur = df.select(F.col(key).cast("string").alias("__k"), F.struct(F.col(t.arrays[0][0])).alias("__v"))
-            for path in t.arrays:
+    out, plan = {}, plan_tables(df.schema, root)
+    shared = {t.name for t in plan if t.shared}
+    for t in plan:
+        parts = []
+        for way in t.ways:
+            if not way:
+                cur = df.select(F.col(key).cast("string").alias("__k"), F.struct("*").alias("__v"), F.lit(None).cast("string").alias("__p"))
+            else:
+                cur = df.select(F.col(key).cast("string").alias("__k"), F.struct(F.col(way[0][1][0])).alias("__v"))
+            for name, path, kind in way:
                 items = _at(F.col("__v"), path) if path else F.col("__v")
-                cur = cur.select("__k", F.posexplode(items).alias("__i", "__v")).select(
-                    F.concat_ws(".", "__k", F.col("__i").cast("string")).alias("__k"), "__v", F.col("__k").alias("__p"))
-            cur = cur.where(F.col("__v").isNotNull())
-        out[t.name] = cur.select(F.col("__k").alias("row_key"), F.col("__p").alias("parent_key"),
-                                 *[(_at(F.col("__v"), path) if path else F.col("__v")).alias(name) for name, path in t.columns])
+                mark = [F.lit("_".join(path) or "item")] if name in shared else []
+                if kind == "array":
+                    cur = cur.select("__k", F.posexplode(items).alias("__i", "__v"))
+                elif kind == "map" and name in shared:  # the map's key stands in the row's key
+                    cur = cur.select("__k", F.explode(items).alias("__i", "__v"))
+                elif kind == "map":
+                    cur = cur.select("__k", F.explode(items).alias("__i", "__v")).select("__k", "__i", F.struct(F.col("__i").alias("key"), F.col("__v").alias("value")).alias("__v"))
+                else:
+                    cur = cur.select("__k", F.lit(None).cast("string").alias("__i"), items.alias("__v"))
+                cur = cur.select(F.concat_ws(".", "__k", *mark, F.col("__i").cast("string")).alias("__k"), "__v", F.col("__k").alias("__p")).where(F.col("__v").isNotNull())
+            parent = [F.lit(way[-2][0] if len(way) > 1 else root).alias("parent_table")] if t.shared else []
+            parts.append(cur.select(F.col("__k").alias("row_key"), F.col("__p").alias("parent_key"), *parent,
+                                    *[(_at(F.col("__v"), path) if path else F.col("__v")).alias(name) for name, path in t.columns]))
+        out[t.name] = reduce(DataFrame.unionByName, parts)
     return out
 
 

@@ -1,14 +1,19 @@
 """Timestamps of mixed formats, precisions and zones to one UTC instant.
 
 A text is read by anchored patterns into wall time, offset and zone name (Arrow batches); zones are applied in the JVM. A text's own zone or offset wins over everything. A text without
-one is wall time of the row's zone history; `estimate_zones` finds that history where no zone is declared: every candidate
-history converts the local times of a group, an instant after the row was loaded, long before it, or in a gap of the
-history is a violation, and the candidate with the fewest is chosen.
+one is wall time of the row's zone history; `estimate_zones` finds that history where no valid zone is declared: it learns from
+the texts that name their instant how late rows are loaded, converts the local times of a group by every history of the time
+zone database, and chooses the one whose lateness fits best, with the violations that are left.
 
 Defined results: null, blank and unreadable texts, impossible dates (month 13, 31 June), dates or times alone, and wall times
 skipped by a zone change give null; 24:00:00 is the next midnight; finer digits than microseconds are cut; a wall time that
 occurs twice is the earlier instant; an unknown zone name gives null; ties between candidates go to the first named.
 """
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -92,7 +97,7 @@ def _reader():
 
     def read(text):
         s = blanks.sub(" ", trim.sub("", text)).translate({0x2212: "-", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-"})
-        if len(s) > 80 or not s.isascii() and not any(c.isdigit() for c in s):
+        if not s.isascii() and not any(c.isdigit() for c in s):
             return none
         m = digits.match(s)
         if m and (len(m[1]) != 14 or m[2]):
@@ -158,37 +163,158 @@ def wall_to_utc(wall_us: Column, zone: Column, known: list[str]) -> Column:
     return F.when(F.unix_micros(F.from_utc_timestamp(utc, ok)) == wall_us, F.unix_micros(utc))
 
 
-def normalise(df: DataFrame, text: str, zone: str, default_zone: str = "UTC", out: str = "utc_us") -> DataFrame:
-    """Adds `out`, the instant in microseconds UTC. `zone` is the column with the row's declared (or estimated) zone."""
+def normalise(df: DataFrame, text: str, zone: str, default_zone: str = "UTC", out: str = "utc_us", estimates: DataFrame | None = None) -> DataFrame:
+    """Adds `out`, the instant in microseconds UTC. `zone` is the column with the row's declared zone.
+
+    A row whose declared zone is no name of the time zone database takes the zone of its group in `estimates` (from
+    `estimate_zones`, grouped by columns of `df`), if given; else it gets null.
+    """
     known = zone_names(df.sparkSession)
     df = read_text(df, text, "__t")
     name = F.coalesce(F.col("__t.zone"), F.when(F.trim(zone) != "", F.trim(zone)), F.lit(default_zone))
+    if estimates is not None:
+        by = [c for c in estimates.columns if c not in ("zone", "n", "violations")]
+        e = estimates.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("zone").alias("__zone"))
+        cond = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by]
+        df = df.join(e, cond, "left").drop(*[f"__{c}" for c in by])
+        name = F.when(F.col("__t.zone").isNull() & ~name.isin(known), F.coalesce("__zone", name)).otherwise(name)
     us = F.coalesce(
         F.col("__t.unix_us"),
         F.when(F.col("__t.offset_min").isNotNull(), F.col("__t.wall_us") - F.col("__t.offset_min").cast("bigint") * 60_000_000)
         .otherwise(F.when(name == "UTC", F.col("__t.wall_us")).otherwise(wall_to_utc(F.col("__t.wall_us"), name, known))),
     )
-    return df.withColumn(out, us).drop("__t")
+    return df.withColumn(out, us).drop("__t", "__zone")
 
 
-def estimate_zones(df: DataFrame, group: list[str], text: str, loaded_at: str, candidates: list[str], max_lag_hours: float = 72.0) -> DataFrame:
-    """The offset history of each group with the fewest violations: (group..., zone, n, violations).
+def histories(first_year: int, last_year: int, prefer: tuple[str, ...] = ()) -> list[tuple[str, list[int], list[int]]]:
+    """The different offset histories of the time zone database between two years: (name, changes, offsets), in microseconds.
 
-    Only texts without zone count. One row per (group, candidate) comes out of a map-side combined count, so a group with a
-    third of all rows is no hot task; candidates are a short parameter list.
+    Zones that agree throughout are one history, under the first of `prefer` among them, else the first in the alphabet; UTC is one.
     """
-    known = zone_names(df.sparkSession)
-    t = read_text(df, text, "__t").where(F.col("__t.wall_us").isNotNull() & F.col("__t.offset_min").isNull() & F.col("__t.zone").isNull())
-    load = F.unix_micros(F.col(loaded_at).cast("timestamp"))
-    aggs = []
-    for i, z in enumerate(candidates):
-        us = F.col("__t.wall_us") if z == "UTC" else wall_to_utc(F.col("__t.wall_us"), F.lit(z), known)
-        bad = us.isNull() | (us > load) | (load - us > F.lit(int(max_lag_hours * 3_600_000_000)))
-        lag = F.sum(F.when(~bad, (load - us).cast("double")))
-        aggs += [F.struct(F.count_if(bad).alias("violations"), F.coalesce(lag, F.lit(0.0)).alias("lag"), F.lit(i).alias("rank"), F.lit(z).alias("zone")).alias(f"c{i}")]
-    best = t.groupBy(*group).agg(F.count("*").alias("n"), *aggs)
-    pick = F.array_min(F.array(*[f"c{i}" for i in range(len(candidates))]))
-    return best.select(*group, "n", pick.getField("zone").alias("zone"), pick.getField("violations").alias("violations"))
+    import zoneinfo
+    from datetime import datetime, timedelta, timezone
+
+    def offset(zone, at: int) -> int:
+        return int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
+
+    lo, hi = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (first_year, last_year + 1))
+    rank = {n: i for i, n in enumerate(prefer)}
+    names = sorted((n for n in zoneinfo.available_timezones() if "/" in n and not n.startswith(("Etc/", "SystemV/", "posix", "right")) or n == "UTC"), key=lambda n: (rank.get(n, len(rank)), n != "UTC", n))
+    seen: dict[tuple, tuple] = {}
+    for n in names:
+        zone = zoneinfo.ZoneInfo(n)
+        changes, offsets = [], [offset(zone, lo)]
+        for day in range(lo, hi, 10 * 86_400):
+            end = min(hi, day + 10 * 86_400)
+            if offset(zone, end) != offsets[-1]:
+                x, y = day, end
+                while y - x > 1:
+                    mid = (x + y) // 2
+                    x, y = (mid, y) if offset(zone, mid) == offsets[-1] else (x, mid)
+                changes.append(y)
+                offsets.append(offset(zone, y))
+        seen.setdefault((tuple(changes), tuple(offsets)), (n, [c * 10**6 for c in changes], [o * 10**6 for o in offsets]))
+    return list(seen.values())
+
+
+def _to_utc(wall: np.ndarray, changes: list[int], offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(instants, which are real): the earlier of two, unreal in a gap."""
+    edges = [-(1 << 62), *changes, 1 << 62]
+    out, ok = np.zeros_like(wall), np.zeros(len(wall), bool)
+    for k, o in enumerate(offsets):
+        us = wall - o
+        fits = ~ok & (us >= edges[k]) & (us < edges[k + 1])
+        out[fits], ok = us[fits], ok | fits
+    return out, ok
+
+
+_HOUR, _BINS = 3_600_000_000, 24 * 45
+#: Log chances: of a wall time that its zone skips, and of a history that is none of the preferred ones.
+_GAP, _RARE = -6.0, -4.0
+
+
+def _bin(lag_us: np.ndarray) -> np.ndarray:
+    """Half hours of lateness up to 45 days either way, all beyond in the outermost."""
+    return np.clip(np.floor_divide(lag_us, _HOUR // 2), -2 * _BINS, 2 * _BINS).astype(np.int64)
+
+
+def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Batches with what their texts say: wall_us, unix_us, offset_min, zone; rows without a text or load time left out."""
+    read = _reader()
+    for b in batches:
+        b = b[b["t"].notna() & b["l"].notna()]
+        said = {t: read(t) for t in b["t"].unique()}
+        yield b, pd.DataFrame([said[t] for t in b["t"]], columns=["wall", "unix", "offset", "zone"], index=b.index)
+
+
+def estimate_zones(df: DataFrame, group: list[str], text: str, loaded_at: str, source: list[str], prefer: tuple[str, ...] = (), years: tuple[int, int] | None = None) -> DataFrame:
+    """The offset history of each group that its load times fit best: (group..., zone, n, violations).
+
+    How late rows of a `source` (a few columns of `group`) are loaded is learned from its texts that name their instant themselves,
+    with an offset or in Unix time. Every history of the time zone database converts the texts without zone of a group; the one
+    under which the resulting lateness is likeliest is chosen, and `violations` counts the texts that fall into a gap of it or
+    are loaded earlier or later than all but one in a hundred. Both passes count within each task first, so a group with a third
+    of all rows is no hot task; candidates are the some hundred different histories of the years at hand.
+    """
+    src = df.select(*group, F.col(text).alias("t"), F.unix_micros(F.col(loaded_at).cast("timestamp")).alias("l"))
+    if years is None:
+        lo, hi = src.agg(F.min("l"), F.max("l")).first()
+        if lo is None:
+            years = (2000, 2000)
+        else:
+            years = tuple(1970 + int(x / (365.2425 * DAY_US)) + d for x, d in ((lo, -1), (hi, 1)))
+    found = histories(*years, prefer)
+    keyed = src.select(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in source]).alias("s"), F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("g"), "t", "l")
+
+    def late(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, said in _batches(batches):
+            us = said["unix"].astype("Float64").fillna(said["wall"].astype("Float64") - said["offset"].astype("Float64") * 60_000_000)
+            sure = us.notna().to_numpy()
+            bins = _bin(b["l"].to_numpy(np.int64)[sure] - us[sure].to_numpy(np.float64).astype(np.int64))
+            yield pd.DataFrame({"s": b["s"][sure], "bin": bins}).groupby(["s", "bin"]).size().rename("n").reset_index()
+
+    known = keyed.mapInPandas(late, "s string, bin long, n long").groupBy("s", "bin").agg(F.sum("n").alias("n"))
+    seen: dict[str, np.ndarray] = {}
+    for r in known.collect():  # at most the half hours of 90 days per source
+        seen.setdefault(r.s, np.zeros(4 * _BINS + 1))[r.bin + 2 * _BINS] += r.n
+
+    def learn(n: np.ndarray) -> tuple[np.ndarray, int, int]:
+        smooth = np.convolve(n, np.ones(3) / 3, mode="same") + 0.01 * n.sum() / len(n) + 1e-3
+        share = np.cumsum(n) / n.sum()
+        return np.log(smooth / smooth.sum()), int(np.searchsorted(share, 0.005)) - 2 * _BINS, int(np.searchsorted(share, 0.995)) - 2 * _BINS
+
+    # Without any sure text a source is taken to be loaded within three days.
+    plain = np.zeros(4 * _BINS + 1)
+    plain[2 * _BINS : 2 * _BINS + 144] = 1.0
+    sent = df.sparkSession.sparkContext.broadcast(({s: learn(n) for s, n in seen.items()}, learn(plain), found))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lateness, default, zones = sent.value
+        for b, said in _batches(batches):
+            open_ = (said["wall"].notna() & said["offset"].isna() & said["zone"].isna()).to_numpy()
+            if not open_.any():
+                continue
+            b, wall = b[open_], said["wall"][open_].astype("Int64").to_numpy(np.int64)
+            load, out = b["l"].to_numpy(np.int64), []
+            for i, (_, changes, offsets) in enumerate(zones):
+                us, real = _to_utc(wall, changes, offsets)
+                bins = _bin(load - us)
+                fit, bad = np.full(len(b), _GAP), ~real
+                for s in b["s"].unique():
+                    mine = (b["s"] == s).to_numpy()
+                    logs, lo, hi = lateness.get(s, default)
+                    at = mine & real
+                    fit[at] = logs[bins[at] + 2 * _BINS]
+                    bad |= mine & ((bins < lo) | (bins > hi))
+                out.append(pd.DataFrame({"g": b["g"].to_numpy(), "i": i, "fit": fit, "bad": bad}).groupby(["g", "i"]).agg(n=("fit", "size"), fit=("fit", "sum"), bad=("bad", "sum")).reset_index())
+            yield pd.concat(out)
+
+    total = keyed.mapInPandas(score, "g string, i long, n long, fit double, bad long").groupBy("g", "i").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"), F.sum("bad").alias("bad"))
+    rare = F.when(F.col("i").isin([i for i, (n, _, _) in enumerate(found) if n in prefer]), 0.0).otherwise(_RARE)
+    best = total.groupBy("g").agg(F.max_by(F.struct("n", "bad", "i"), F.struct(F.round(F.col("fit") + rare, 6), -F.col("i"))).alias("b"))
+    names = F.array(*[F.lit(n) for n, _, _ in found])
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*group).dtypes)
+    return best.select(F.from_json("g", schema).alias("g"), names[F.col("b.i").cast("int")].alias("zone"), F.col("b.n").alias("n"), F.col("b.bad").alias("violations")).select("g.*", "zone", "n", "violations")
 
 
 def time_texts(calls: DataFrame, cases: DataFrame, mock: DataFrame) -> DataFrame:

@@ -58,17 +58,28 @@ def _time_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants.normalise(_time_texts(spark, d), "text", "zone").where(F.col("utc_us").isNotNull()).select("src", "record_key", "utc_us")
+    """Instants of all time texts. The declared zone rules; where it is no zone's name, the estimate of its group does."""
+    texts, known = _time_texts(spark, d), instants.zone_names(spark)
+    declared = reduce(DataFrame.unionByName, [table(spark, d, t, "source_tz") for t in ("raw_calls", "raw_cases", "mock")])
+    unknown = declared.where((F.trim("source_tz") != "") & ~F.trim("source_tz").isin(known)).distinct()
+    estimates = None
+    if unknown.limit(1).collect():
+        names = texts.join(unknown.withColumnRenamed("source_tz", "zone"), "zone", "left_semi").withColumnRenamed("zone", "source_tz")
+        sure = texts.withColumnRenamed("zone", "source_tz").where("source_tz is null")
+        found = instants.estimate_zones(names.unionByName(sure), ["src", "source_tz"], "text", "loaded_at", ["src"], COMMON)
+        estimates = found.where("source_tz is not null").withColumnRenamed("zone", "found").withColumnRenamed("source_tz", "zone").selectExpr("src", "zone as declared", "found as zone")
+        texts = texts.withColumn("declared", F.col("zone"))
+    return instants.normalise(texts, "text", "zone", estimates=estimates).where(F.col("utc_us").isNotNull()).select("src", "record_key", "utc_us")
 
 
-#: Candidate histories for rows whose zone is to be estimated.
-CANDIDATES = ["UTC", "America/Los_Angeles", "America/Phoenix", "America/Chicago", "America/New_York", "America/Sao_Paulo",
-              "Europe/London", "Europe/Paris", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney"]
+#: Names under which a history is given if several zones share it.
+COMMON = ("UTC", "America/Los_Angeles", "America/Phoenix", "America/Chicago", "America/New_York", "America/Sao_Paulo",
+          "Europe/London", "Europe/Paris", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney")
 
 
 def p5_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zone history that fits the local texts of each source and declared zone best, judged by load times alone."""
-    return instants.estimate_zones(_time_texts(spark, d).withColumnRenamed("zone", "source_tz"), ["src", "source_tz"], "text", "loaded_at", CANDIDATES)
+    return instants.estimate_zones(_time_texts(spark, d).withColumnRenamed("zone", "source_tz"), ["src", "source_tz"], "text", "loaded_at", ["src"], COMMON)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_periods, p2_open, p2_snapshots, p4_found, p4_objects, p4_sentences, p5_found, p5_zones)}
