@@ -6,10 +6,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from veritide.plans import core_queries, reference_queries
+from veritide import plans
 
-CASES = {**reference_queries.ORACLE, **core_queries.ORACLE}
-QUERIES = {**reference_queries.QUERIES, **core_queries.QUERIES}
+CASES = {k: v for m in plans.modules() for k, v in m.ORACLE.items()}
+QUERIES = {k: v for m in plans.modules() for k, v in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")

@@ -48,7 +48,9 @@ def test_scrub_kinds_names_and_idempotence(spark):
     clean = one(spark, c, *n.values())
     assert clean == ("[EMAIL] at [ADDRESS]; [NAME], [NAME], [NAME]; Danarium Ruizova", 1, 0, 1, 3)
     assert one(spark, X.scrub(F.lit(clean[0]), names)[0])[0] == clean[0]
-    assert X.name_pattern([]) is None and X.name_pattern(["Cher"]) is None
+    assert X.name_pattern([]) is None
+    three = ["Zoë van Berg", "Cher"]
+    assert one(spark, X.scrub(F.lit("Cher met Berg, Zoë and zoë  van berg, not Berg or Cherie"), three)[0])[0] == "[NAME] met [NAME] and [NAME], not Berg or Cherie"
 
 
 def test_mm_ss(spark):
@@ -76,13 +78,28 @@ def test_ids(spark):
     assert one(spark, ids.replay_key(F.lit("a"), F.lit("b")))[0] == hashlib.sha256(b"a\x1fb").hexdigest()[:16]
 
 
+REF = "struct<call_id:string,speaker_id:string,start_ms:bigint,end_ms:bigint,case_id:string,comment_id:string>"
+TURN = "call_id string, speaker_id string, delivery_id int, turn_ix int, start_ms long, end_ms long, side string, sentences array<struct<start:bigint,end:bigint,text:string>>"
+
+
 def test_reasons_and_first_wins(spark):
-    turns = spark.createDataFrame([("c", "s", 1, 0, 0, 100, "client", "the bank file hides it"), ("c", "v", 1, 1, 100, 200, "vendor", "we see")], "call_id string, speaker_id string, delivery_id int, turn_ix int, start_ms long, end_ms long, side string, text string")
-    mk = lambda i, at, sp, a, b, v: (i, at, "gong", ("c", sp, a, b), v)
-    rows = [mk("0" * 12, 1, "s", 10, 90, "hides it"), mk("0" * 12, 2, "s", 10, 90, "hides it"), mk("1" * 12, 1, "s", 10, 101, "hides it"), mk("2" * 12, 1, "v", 100, 200, "we see"), mk("3" * 12, 1, "s", 0, 100, "hides iT"), mk("bad", 1, "s", 0, 100, "hides it")]
-    df = spark.createDataFrame(rows, "claim_id string, loaded_at long, source string, source_ref struct<call_id:string,speaker_id:string,start_ms:bigint,end_ms:bigint>, verbatim string")
-    got = {(r.claim_id, r.loaded_at): r.reason for r in C.reasons(C.resolve(df, turns)).collect()}
-    assert list(got.values()).count(None) == 1 and got["0" * 12, 2] == "duplicate" and got["1" * 12, 1] == got["3" * 12, 1] == "citation_unresolved" and got["2" * 12, 1] == "speaker_not_client" and got["bad", 1] == "schema_invalid"
+    turns = spark.createDataFrame([("c", "s", 1, 0, 0, 100, "client", [(0, 40, "First one."), (40, 100, "the bank file hides it")]), ("c", "v", 1, 1, 100, 200, "vendor", [(100, 200, "we see")])], TURN)
+    none = spark.createDataFrame([], "case_id string, comment_id string, row_no int, ord int, side string, body string")
+    mk = lambda i, at, sp, a, b, v: (i, at, "gong", ("c", sp, a, b, None, None), v)
+    rows = [mk("0" * 12, 1, "s", 40, 100, "hides it"), mk("0" * 12, 2, "s", 40, 100, "hides it"), mk("1" * 12, 1, "s", 40, 101, "hides it"), mk("2" * 12, 1, "v", 100, 200, "we see"), mk("3" * 12, 1, "s", 0, 100, "hides iT"), mk("bad", 1, "s", 0, 100, "hides it"),
+            mk("4" * 12, 1, "s", 40, 100, "First one."), mk("5" * 12, 1, "s", 10, 100, "First one."), mk("6" * 12, 1, "s", 0, 100, "First one. the bank")]
+    df = spark.createDataFrame(rows, f"claim_id string, loaded_at long, source string, source_ref {REF}, verbatim string")
+    got = {(r.claim_id[0], r.loaded_at): r.reason for r in C.reasons(C.resolve(df, turns, none)).collect()}
+    # 4: said in the turn, but not in the cited span; 5: a sentence cut by the window is no part of the span.
+    assert got == {("0", 1): None, ("0", 2): "duplicate", ("1", 1): "citation_unresolved", ("2", 1): "speaker_not_client", ("3", 1): "citation_unresolved", ("b", 1): "schema_invalid",
+                   ("4", 1): "citation_unresolved", ("5", 1): "citation_unresolved", ("6", 1): None}
+
+
+def test_the_same_claim_in_two_documents_is_no_duplicate(spark):
+    turns = spark.createDataFrame([(c, "s", 1, 0, 0, 100, "client", [(0, 100, "hides it")]) for c in "ab"], TURN)
+    none = spark.createDataFrame([], "case_id string, comment_id string, row_no int, ord int, side string, body string")
+    df = spark.createDataFrame([("0" * 12, 1, "gong", (c, "s", 0, 100, None, None), "hides") for c in "ab"], f"claim_id string, loaded_at long, source string, source_ref {REF}, verbatim string")
+    assert [r.reason for r in C.reasons(C.resolve(df, turns, none)).collect()] == [None, None]
 
 
 def test_allocation_continues_in_numeric_order(spark):
@@ -120,9 +137,9 @@ def test_window_refuses_and_append_is_all_or_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     with pytest.raises(ValueError, match="nothing written"):
         I.append(df, path, {"v": F.col("v") > 1})
-    for _ in range(2):
-        I.append(df, path, {"v": F.col("v") > 0})
-    assert spark.read.parquet(path).count() == 1
+    for batch in ("doc-1", "doc-1", "doc-2"):  # a batch again changes nothing, another adds to the run
+        I.append(df, path, {"v": F.col("v") > 0}, batch=batch)
+    assert spark.read.parquet(path).count() == 2
     with pytest.raises(Exception, match="unscrubbed"):
         I.write_scrubbed(df.withColumn("scrubbed", F.lit(False)), str(tmp_path / "u"))
 
@@ -132,7 +149,8 @@ def test_increment_and_gate(spark):
     n = lambda mark, until: I.increment(df, F.col("d"), mark, until).count()
     assert [n(None, "2026-01-03"), n("2026-01-03", "2026-01-05"), n("2026-01-05", "2026-01-05")] == [1, 2, 0]
     p = spark.createDataFrame([("T1", "proposed"), ("T2", "filed")], "theme_id string, status string")
-    assert [r.status for r in I.approve(p, "T1", False).collect()] == ["withheld", "filed"] and [r.status for r in I.approve(p, "T1", True).collect()] == ["filed", "filed"]
+    refused = I.approve(p, "T1", False)
+    assert [r.status for r in refused.collect()] == ["proposed", "filed"] and [r.status for r in I.approve(refused, "T1", True).collect()] == ["filed", "filed"] and [r.status for r in I.approve(p, "T1", True).collect()] == ["filed", "filed"]
 
 
 def test_replay(spark):
@@ -154,6 +172,8 @@ def test_counters_take_no_booleans(spark):
 
 
 def test_digest_text(spark):
+    many = spark.createDataFrame([(i, f"T{i}", "x", 9, 1, 0) for i in range(1, 121)], "position int, theme_id string, title string, score int, customers int, prospects int")
+    assert render.digest(many, "2026-W37").count("| T") == 120  # none is cut
     df = spark.createDataFrame([(1, "T1", "a|b", 9, 1, 0)], "position int, theme_id string, title string, score int, customers int, prospects int")
     assert render.digest(df, "2026-W37").endswith("| 1 | T1 | a/b | 9 | 1 customers, 0 prospects |")
 
@@ -183,3 +203,41 @@ def test_stream_ingest_takes_each_key_once(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int").coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted((r.k, r.v) for r in spark.read.parquet(store).collect()) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_mark_moves_forward_only_and_a_build_runs_once(spark, tmp_path):
+    path = str(tmp_path / "mark")
+    assert I.read_mark(spark, path) is None
+    for day in ("2026-01-03", "2026-01-05", "2026-01-04"):
+        I.move_mark(spark, path, day)
+    assert I.read_mark(spark, path) == "2026-01-05"
+    built = []
+    for _ in range(2):
+        df = I.once(spark, str(tmp_path / "weeks"), "week", "2026-W01", lambda: built.append(1) or spark.range(3).withColumn("week", F.lit("2026-W01")))
+        assert df.count() == 3
+    assert built == [1]
+
+
+def test_quiet_and_filed(spark):
+    df = spark.sql("select * from values ('a', 'open', date'2026-01-01'), ('b', 'quiet', date'2026-01-20'), ('c', 'filed', date'2026-01-01'), ('d', 'open', null) t(id, status, newest)")
+    got = {r.id: (r.status, r.stale) for r in I.aged(df, F.col("newest"), "2026-01-26").collect()}
+    assert got == {"a": ("quiet", True), "b": ("open", False), "c": ("filed", True), "d": ("quiet", True)}
+
+
+def test_closed_objects_and_counts_only(spark):
+    assert one(spark, rules.unknown_fields(F.lit('{"a": 1, "z": 2, "b": 3}'), ["a", "b"]), rules.unknown_fields(F.lit("no json"), ["a"])) == (["z"], [])
+    ok = lambda x: one(spark, rules.counts_only(F.lit(x)))[0]
+    assert [ok(x) for x in ('{"EMAIL": 2}', '{"counts": {"EMAIL": 2, "NAME": 0}}', "{}", '{"EMAIL": "x@y.z"}', '{"EMAIL": true}', '{"n": 1.5}', "no json")] == [True, True, True, False, False, False, False]
+
+
+@pytest.mark.parametrize("inline", [100, 1])
+def test_nested_documents_are_scrubbed_and_counted_once(spark, inline):
+    from veritide.operators import scrub
+
+    schema = "doc_no int, title string, turns array<struct<text:string,sentences:array<struct<text:string>>>>, scrubbed boolean"
+    rows = [(1, "Dana Ruiz called", [("Mail a@example.org, Vance-Oak", [("Mail a@example.org,",), ("Vance-Oak",)]), (None, None), None], False), (2, None, None, False), (3, "Oak, Ed and zoë van berg", [], None)]
+    names = spark.createDataFrame([(n,) for n in ("Dana Ruiz", "Zoë van Berg", "Mia Vance-Oak", "Ed Oak", " ", "Noone Here")], "name string")
+    got = {r.doc_no: r for r in scrub.scrub_documents(spark.createDataFrame(rows, schema), names, inline=inline).collect()}
+    assert got[1].title == "[NAME] called" and got[1].turns[0].text == "Mail [EMAIL], [NAME]" and [s.text for s in got[1].turns[0].sentences] == ["Mail [EMAIL],", "[NAME]"]
+    assert tuple(got[1].pii_counts) == (1, 0, 0, 2) and got[1].turns[1].text is None and got[1].turns[2] is None and got[1].scrubbed
+    assert got[2].turns is None and tuple(got[2].pii_counts) == (0, 0, 0, 0) and got[3].title == "[NAME] and [NAME]"

@@ -9,16 +9,16 @@ from veritide.operators import claims as C, inlining, orphans
 
 
 def test_comment_citations_are_judged_and_repeated_claims_counted(spark):
-    turns = spark.createDataFrame([("c", "s", 1, 0, 0, 100, "client", "the bank file hides it")], "call_id string, speaker_id string, delivery_id long, turn_ix int, start_ms long, end_ms long, side string, text string")
-    comments = spark.createDataFrame([(2, "k", 0, "m", "second delivery"), (1, "k", 3, "m", "it skips the list"), (1, "k", 4, "empty", None)], "row_no long, case_id string, ord int, comment_id string, body string")
-    mk = lambda i, source, call, case, comment, side, v: (i * 12, 1, source, (call, "s" if call else None, 10, 90, case, comment), side, v)
-    rows = [mk("0", "gong", "c", None, None, "client", "hides it")] * 2 + [
-        mk("1", "salesforce", None, "k", "m", "client", "skips"), mk("2", "salesforce", None, "k", "m", "vendor", "skips"), mk("3", "salesforce", None, "k", "other", "client", "skips"),
-        mk("4", "salesforce", None, "k", "m", "client", "second"), mk("5", "salesforce", None, "k", "empty", "client", "x"), mk("6", None, None, None, None, None, "x")]
-    df = spark.createDataFrame(rows, "claim_id string, loaded_at long, source string, source_ref struct<call_id:string,speaker_id:string,start_ms:bigint,end_ms:bigint,case_id:string,comment_id:string>, speaker_side string, verbatim string")
-    got = Counter((r.claim_id[0], r.delivery_id, r.turn_ix, r.reason) for r in C.reasons(C.resolve(df, turns, comments)).collect())
-    assert got == Counter([("0", 1, 0, None), ("0", 1, 0, "duplicate"), ("1", 1, 3, None), ("2", 1, 3, "speaker_not_client"), ("3", None, None, "citation_unresolved"),
-                           ("4", 1, 3, "citation_unresolved"), ("5", 1, 4, "citation_unresolved"), ("6", None, None, "citation_unresolved")])
+    turns = spark.createDataFrame([("c", "s", 0, 0, 100, "client", [(0, 100, "the bank file hides it")])], "call_id string, speaker_id string, turn_ix int, start_ms long, end_ms long, side string, sentences array<struct<start:bigint,end:bigint,text:string>>")
+    comments = spark.createDataFrame([("k", 3, "m", "client", "it skips the list"), ("k", 4, "empty", "client", None), ("k", 5, "own", "vendor", "we skip")], "case_id string, ord int, comment_id string, side string, body string")
+    mk = lambda i, source, call, case, comment, v: (i * 12, 1, source, (call, "s" if call else None, 0, 100, case, comment), v)
+    rows = [mk("0", "gong", "c", None, None, "hides it")] * 2 + [
+        mk("1", "salesforce", None, "k", "m", "skips"), mk("2", "salesforce", None, "k", "own", "skip"), mk("3", "salesforce", None, "k", "other", "skips"),
+        mk("4", "salesforce", None, "k", "m", "second"), mk("5", "salesforce", None, "k", "empty", "x"), mk("6", None, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "claim_id string, loaded_at long, source string, source_ref struct<call_id:string,speaker_id:string,start_ms:bigint,end_ms:bigint,case_id:string,comment_id:string>, verbatim string")
+    got = Counter((r.claim_id[0], r.document, r.turn_ix, r.reason) for r in C.reasons(C.resolve(df, turns, comments)).collect())
+    assert got == Counter([("0", "c", 0, None), ("0", "c", 0, "duplicate"), ("1", "k", 3, None), ("2", "k", 5, "speaker_not_client"), ("3", "k", None, "citation_unresolved"),
+                           ("4", "k", 3, "citation_unresolved"), ("5", "k", 4, "citation_unresolved"), ("6", None, None, "citation_unresolved")])
 
 
 def test_objects_keep_their_attributes():

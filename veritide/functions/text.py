@@ -17,37 +17,51 @@ this those through to too under until up us very was we were what when where whi
 yourself yourselves""".split()
 
 
+def name_parts(name: Column) -> Column:
+    """Patterns of one name: all its parts in order, `Last, First` of the outer parts, and the last part alone if hyphenated."""
+    q = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    parts = F.filter(F.split(F.trim(name), r"\s+"), lambda p: p != "")
+    quoted, last = F.transform(parts, q), F.element_at(parts, -1)
+    return F.array_compact(F.array(
+        F.when(F.size(parts) > 0, F.array_join(quoted, r"\s+")),
+        F.when(F.size(parts) > 1, F.concat(q(last), F.lit(r"\s*,\s*"), q(parts[0]))),
+        F.when((F.size(parts) > 1) & last.contains("-"), q(last))))
+
+
 def name_pattern(names: list[str]) -> str | None:
-    """`First Last`, `Last, First`, and a bare surname only where it is hyphenated. None for no names.
+    """All names as one pattern: the full name, `Last, First`, and a hyphenated last part alone. None for no names.
 
-    Alternatives are grouped by their first part, so a place in a text is tried against each part once, not against each name.
+    Alternatives are grouped by their first word, so a place in a text is tried against each word once, not against each name;
+    longer ones come first.
     """
     import re
 
     tails: dict[str, set[str]] = {}
-    bare: set[str] = set()
     for n in names:
-        parts = n.split()
-        if len(parts) < 2:
-            continue
-        first, last = re.escape(parts[0]), r"\s+".join(re.escape(p) for p in parts[1:])
-        tails.setdefault(first, set()).add(rf"\s+{last}")
-        tails.setdefault(last, set()).add(rf"\s*,\s*{first}")
-        if "-" in parts[-1]:
-            bare.add(last)
+        parts = [re.escape(p) for p in n.split()]
+        if parts:
+            tails.setdefault(parts[0], set()).add("".join(rf"\s+{p}" for p in parts[1:]))
+        if len(parts) > 1:
+            tails.setdefault(parts[-1], set()).add(rf"\s*,\s*{parts[0]}")
+            if "-" in n.split()[-1]:
+                tails[parts[-1]].add("")
     long_first = lambda xs: sorted(xs, key=lambda x: (-len(x), x))
-    alts = [f"{h}(?:{'|'.join(long_first(tails[h]))}){'?' if h in bare else ''}" for h in long_first(tails)]
+    alts = [f"{h}(?:{'|'.join(long_first(tails[h]))})" for h in long_first(tails)]
     return rf"(?iuU)\b(?:{'|'.join(alts)})\b" if alts else None
 
 
-def scrub(c: Column, names: list[str] | None = None) -> tuple[Column, dict[str, Column]]:
-    """(text with placeholders, counts by kind). Each kind is counted in what the kinds before it left."""
+def scrub(c: Column, names: list[str] | Column | None = None) -> tuple[Column, dict[str, Column]]:
+    """(text with placeholders, counts by kind). Each kind is counted in what the kinds before it left.
+
+    `names` is a list, or a column with the row's own pattern (null for none).
+    """
     counts = {}
-    for kind, p in (("EMAIL", EMAIL), ("PHONE", PHONE), ("ADDRESS", ADDRESS), ("NAME", name_pattern(names or []))):
-        if kind == "NAME" and p:
+    own = names if isinstance(names, Column) else name_pattern(names or [])
+    for kind, p in (("EMAIL", EMAIL), ("PHONE", PHONE), ("ADDRESS", ADDRESS), ("NAME", own)):
+        if kind == "NAME" and p is not None:
             # The long pattern runs once: its matches are the placeholders that come in addition.
             mark = F.lit(r"\[NAME\]")
-            clean = F.regexp_replace(c, p, "[NAME]")
+            clean = F.coalesce(F.regexp_replace(c, p, F.lit("[NAME]")), c) if isinstance(p, Column) else F.regexp_replace(c, p, "[NAME]")
             counts[kind], c = F.regexp_count(clean, mark) - F.regexp_count(c, mark), clean
             continue
         counts[kind] = F.regexp_count(c, F.lit(p)) if p else F.lit(0)

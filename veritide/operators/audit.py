@@ -7,12 +7,13 @@ from pyspark.sql.window import Window
 
 def usage(events: DataFrame, *keys: str) -> DataFrame:
     """calls, tokens and cost by each key alone and in total, in one pass (grouping sets). `level` names the key."""
-    sets = ", ".join(f"({k})" for k in keys) + ", ()"
-    events.createOrReplaceTempView("__usage")
-    label = "case " + " ".join(f"when grouping({k}) = 0 then '{k}'" for k in keys) + " else 'total' end"
-    value = f"coalesce({', '.join(keys)})" if keys else "null"
-    return events.sparkSession.sql(f"""select {label} as level, {value} as value, count(*) as calls, sum(tokens_in) as tokens_in, sum(tokens_out) as tokens_out,
-        sum(cache_read) as cache_read, sum(cache_write) as cache_write, round(sum(cost_usd), 6) as cost_usd from __usage group by grouping sets ({sets})""")
+    level = F.lit("total")
+    for k in reversed(keys):
+        level = F.when(F.grouping(k) == 0, k).otherwise(level)
+    total = lambda c: F.sum(c).alias(c)
+    out = events.groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        level.alias("level"), F.count("*").alias("calls"), *map(total, ("tokens_in", "tokens_out", "cache_read", "cache_write")), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return out.select("level", F.coalesce(*keys).alias("value"), "calls", "tokens_in", "tokens_out", "cache_read", "cache_write", "cost_usd")
 
 
 def counters(events: DataFrame, by: str) -> DataFrame:

@@ -15,7 +15,7 @@ def latest(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
 
 
 def turns(calls: DataFrame) -> DataFrame:
-    """(delivery_id, call_id, turn_ix, speaker_id, speaker_name, affiliation, side, start_ms, end_ms, text); no shuffle.
+    """(delivery_id, call_id, turn_ix, speaker_id, speaker_name, affiliation, side, start_ms, end_ms, text, sentences); no shuffle.
 
     The speaker is looked up in the row's own parties (a later one wins); without one the id is the name and the side vendor.
     Start and end are those of the first and last sentence, 0 without any; null turns are left out.
@@ -29,7 +29,7 @@ def turns(calls: DataFrame) -> DataFrame:
         "delivery_id", "call_id", "turn_ix", F.col("t.speakerId").alias("speaker_id"), F.coalesce("p.name", "t.speakerId").alias("speaker_name"),
         F.coalesce("p.affiliation", F.lit("Unknown")).alias("affiliation"), F.when(F.col("p.affiliation") == "External", "client").otherwise("vendor").alias("side"),
         F.coalesce(F.try_element_at(s, F.lit(1))["start"], F.lit(0)).alias("start_ms"), F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0)).alias("end_ms"),
-        F.array_join(F.transform(s, lambda x: x["text"]), " ").alias("text"))
+        F.array_join(F.transform(s, lambda x: x["text"]), " ").alias("text"), s.alias("sentences"))
 
 
 def sentences(calls: DataFrame) -> DataFrame:
@@ -64,3 +64,30 @@ def case_comments(cases: DataFrame) -> DataFrame:
 def withheld(cases: DataFrame) -> DataFrame:
     n = lambda f: F.size(F.filter(F.coalesce(F.col("comments"), F.array()), f))
     return cases.select("row_no", n(lambda x: x["IsPublished"]).alias("published"), n(lambda x: F.coalesce(~x["IsPublished"], F.lit(True))).alias("withheld"))
+
+
+def first_deliveries(df: DataFrame, document: Column, order: str) -> DataFrame:
+    """One row per document: the delivery that comes first by `order`. Documents without an id are each their own."""
+    d = df.withColumn("__doc", document)
+    return latest(d.where(F.col("__doc").isNotNull()), "__doc", F.asc(order)).unionByName(d.where(F.col("__doc").isNull())).drop("__doc")
+
+
+def user_side(author: Column, user_type: Column) -> Column:
+    """An author that no user row tells of, or a Standard user, is the vendor's; any other the client's."""
+    return F.when(author.isNull() | user_type.isNull() | (user_type == "Standard"), "vendor").otherwise("client")
+
+
+def users(*files: DataFrame) -> DataFrame:
+    """(Id, UserType) over several user files; of rows of one id that of the later file counts."""
+    out = None
+    for i, f in enumerate(files):
+        part = f.select("Id", "UserType", F.lit(i).alias("file"))
+        out = part if out is None else out.unionByName(part)
+    return latest(out.where(F.col("Id").isNotNull()), "Id", F.desc("file"), F.asc("UserType")).select("Id", "UserType")
+
+
+def case_turns(cases: DataFrame, people: DataFrame) -> DataFrame:
+    """Published comments of each case's first delivery as turns, with the side of their author (left join on the user master)."""
+    c = case_comments(first_deliveries(cases, F.col("case_data.Id"), "row_no"))
+    j = c.join(people.select(F.col("Id").alias("author_id"), "UserType"), "author_id", "left")
+    return j.select("row_no", "case_id", "ord", "comment_id", "author_id", user_side(F.col("author_id"), F.col("UserType")).alias("side"), "body")

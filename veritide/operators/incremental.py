@@ -1,6 +1,9 @@
 """Incremental reads and writes: high-water mark, window guard, upsert, append by run, snapshots before a run."""
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .documents import latest
@@ -36,15 +39,50 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str], *order: Column)
     return latest(old.unionByName(new), key, *order)
 
 
-def append(df: DataFrame, path: str, rules: dict[str, Column] | None = None, by: str = "run_id") -> None:
-    """All or nothing: nothing is written if any row breaks a rule. A run's partition is replaced, so a rerun changes nothing."""
+def append(df: DataFrame, path: str, rules: dict[str, Column] | None = None, by: str = "run_id", batch: str = "all") -> None:
+    """All or nothing: nothing is written if any row breaks a rule.
+
+    A run appends in batches (a document, a stage); only the same batch of the same run is replaced, so a batch written again after a
+    crash changes nothing and another batch of the run adds to it.
+    """
     if rules:
         from .rules import errors
 
         bad = df.where(F.size(errors(rules)) > 0).limit(1).collect()
         if bad:
             raise ValueError(f"rejected, nothing written: {bad[0]}")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
+
+
+def read_mark(spark, path: str) -> str | None:
+    """The last day taken in; null before the first. A text that is no day is an error."""
+    try:
+        day = spark.read.text(path).agg(F.max("value")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    if day is not None and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
+        raise ValueError(f"no day: {day}")
+    return day
+
+
+def move_mark(spark, path: str, day: str) -> None:
+    """Sets the mark; it never goes back. Written last, after everything of the day."""
+    if (old := read_mark(spark, path)) is None or old < day:
+        spark.createDataFrame([(day,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def once(spark, path: str, by: str, run: str, build) -> DataFrame:
+    """The rows of a run: read if they are there already, else built, written and read. A second build of a week is a no-op."""
+    here = f"{path}/{by}={run}"
+    try:
+        return spark.read.option("basePath", path).parquet(here)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    build().drop(by).write.mode("errorifexists").parquet(here)
+    return spark.read.option("basePath", path).parquet(here)
 
 
 def write_scrubbed(df: DataFrame, path: str) -> None:
@@ -59,11 +97,20 @@ def before_run(df: DataFrame, run_id: str) -> DataFrame:
 
 
 def stale(df: DataFrame, newest: Column, as_of: str, days: int = 14) -> DataFrame:
-    """Adds `quiet`: nothing new for more than `days`; a filed row keeps its status."""
+    """Adds `quiet`: nothing new for more than `days`."""
     return df.withColumn("quiet", F.datediff(F.lit(as_of).cast("date"), newest.cast("date")) > days)
 
 
+def aged(df: DataFrame, newest: Column, as_of: str, days: int = 14) -> DataFrame:
+    """Adds `stale` and moves `status`: open themes without anything new for more than `days` are quiet, quiet ones with news open
+    again; filed ones stay filed."""
+    old = F.coalesce(F.datediff(F.lit(as_of).cast("date"), newest.cast("date")) > days, F.lit(True))
+    return df.withColumn("stale", old).withColumn("status", F.when(F.col("status") == "filed", "filed").when(old, "quiet").otherwise("open"))
+
+
 def approve(proposals: DataFrame, theme_id: str, yes: bool) -> DataFrame:
-    """The human gate: status goes from proposed to filed only with `yes`; else it is withheld. No outward call is made."""
-    hit = F.col("theme_id") == theme_id
-    return proposals.withColumn("status", F.when(hit & (F.col("status") == "proposed"), "filed" if yes else "withheld").otherwise(F.col("status")))
+    """The human gate: a proposed row is filed only with `yes`; without, it stays proposed and may be filed later. No outward call."""
+    if not yes:
+        return proposals
+    hit = (F.col("theme_id") == theme_id) & (F.col("status") == "proposed")
+    return proposals.withColumn("status", F.when(hit, "filed").otherwise(F.col("status")))

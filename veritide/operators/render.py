@@ -22,7 +22,7 @@ def html_quotes(claims: DataFrame) -> DataFrame:
     return claims.select("claim_id", F.concat(F.lit("<details><summary>"), html(F.col("paraphrase")), F.lit("</summary><mark>"), html(F.col("verbatim")), F.lit("</mark></details>")).alias("html"))
 
 
-def digest(ranked: DataFrame, week: str, k: int = 50) -> str:
-    """A digest's text: the first k themes (a report's length), joined on the driver."""
-    lines = [r["line"] for r in theme_lines(ranked).orderBy("position").limit(k).collect()]
+def digest(ranked: DataFrame, week: str) -> str:
+    """A digest's text: every theme in order. The driver only joins the lines, which are as many as a report has."""
+    lines = [r["line"] for r in theme_lines(ranked).orderBy("position").toLocalIterator()]
     return "\n".join([f"# Weekly digest {week}", "", "| # | theme | title | score | accounts |", "| --- | --- | --- | --- | --- |", *lines])

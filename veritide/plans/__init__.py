@@ -1 +1,6 @@
+"""Queries of the core with their SQL, by module."""
+from . import core_queries, reference_queries, verify_queries
 
+
+def modules() -> list:
+    return [reference_queries, verify_queries, core_queries]

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from ..functions import score as S, text as X
 from ..functions.calendar import build_day, iso_week, run_id
 from ..functions.ids import replay_key, theme_number
-from ..operators import audit, claims as C, documents as D, drift, incremental as I, render, retrieval, rules, themes as TH
+from ..operators import audit, claims as C, documents as D, drift, incremental as I, render, replay, retrieval, rules, scrub, themes as TH
 from ..session import spread
 from ..sources.tables import table
 
@@ -185,28 +185,30 @@ def _comments(spark: SparkSession, d: str) -> DataFrame:
 _BODY = "c as (select row_no, (i - 1)::int as i, comments[i].CommentBody as text from raw_cases, unnest(range(1, len(comments) + 1)) u(i) where comments[i].CommentBody is not null)"
 
 
-@query(f"with {_BODY} select row_no, i, regexp_replace(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '[EMAIL]', 'g') as text from c where regexp_matches(text, '[ <(:][A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}[ >);.,]')")
+@query(rf"""with {_BODY} select row_no, i, regexp_replace(text, '(^|[^\pL\pN_])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', '\1[EMAIL]', 'g') as text from c""")
 def scrub_email(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.col("text").rlike(r"[ <(:][A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}[ >);.,]")
-    return _comments(spark, d).where(hit).withColumn("text", F.regexp_replace("text", X.EMAIL, "[EMAIL]"))
+    return _comments(spark, d).withColumn("text", F.regexp_replace("text", X.EMAIL, "[EMAIL]"))
 
 
 @query()
 def scrub_all(spark: SparkSession, d: str) -> DataFrame:
     """All four kinds by the fixed patterns and the name register; look-around has no counterpart in the SQL engine."""
-    names = [r[0] for r in table(spark, d, "pii_names", "name").limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 registered names: use the scanner of the text operators")
-    clean, counts = X.scrub(F.col("text"), names)
-    return _comments(spark, d).select("row_no", "i", clean.alias("clean"), *[v.alias(k.lower()) for k, v in counts.items()])
+    return scrub.scrub_rows(_comments(spark, d), "text", table(spark, d, "pii_names", "name")).drop("text")
 
 
 @query()
 def scrub_idempotent(spark: SparkSession, d: str) -> DataFrame:
     """Texts that a second pass would change: none."""
-    once, _ = X.scrub(F.col("text"))
-    twice, _ = X.scrub(F.col("once"))
-    return _comments(spark, d).withColumn("once", once).withColumn("twice", twice).where("once <> twice").select("row_no", "i")
+    names = table(spark, d, "pii_names", "name")
+    twice = scrub.scrub_rows(scrub.scrub_rows(_comments(spark, d), "text", names, "once").select("row_no", "i", "once"), "once", names, "twice")
+    return twice.where("once <> twice").select("row_no", "i")
+
+
+@query()
+def scrub_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents redacted in place, with the counts of what was found."""
+    docs = scrub.scrub_documents(table(spark, d, "gong_call", "doc_no", "title", "turns", "scrubbed"), table(spark, d, "pii_names", "name"))
+    return docs.select("doc_no", "title", F.to_json("turns").alias("turns"), *[F.col(f"pii_counts.{k}").alias(k.lower()) for k in scrub.KINDS])
 
 
 @query("select source_id, sum(pii_counts.EMAIL)::bigint as email, sum(pii_counts.PHONE)::bigint as phone, sum(pii_counts.ADDRESS)::bigint as address, sum(pii_counts.NAME)::bigint as name from gong_call group by source_id")
@@ -217,91 +219,12 @@ def pii_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pii_counts_by_document(spark: SparkSession, d: str) -> DataFrame:
     """Items by kind in the title and the turns of each document, counted in the texts; the stored counts are not used."""
-    names = [r[0] for r in table(spark, d, "pii_names", "name").limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 registered names: use the scanner of the text operators")
-    texts = F.concat(F.array("title"), F.coalesce(F.transform("turns", lambda t: t["text"]), F.array()))
-    _, counts = X.scrub(F.col("text"), names)
-    t = spread(table(spark, d, "gong_call", "doc_no", "title", "turns").select("doc_no", F.explode(texts).alias("text")))
-    return t.groupBy("doc_no").agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias(k.lower()) for k, v in counts.items()])
+    docs = table(spark, d, "gong_call", "doc_no", "title", "turns").withColumn("scrubbed", F.lit(False))
+    return scrub.scrub_documents(docs, table(spark, d, "pii_names", "name")).select("doc_no", *[F.col(f"pii_counts.{k}").alias(k.lower()) for k in scrub.KINDS])
 
 
 # --- claims -------------------------------------------------------------------------------------------------------------
 
-_RES = f"""{_TURNS}, c as (select claim_id, loaded_at, verbatim, source_ref.call_id as call_id, source_ref.speaker_id as speaker_id, source_ref.start_ms as cs, source_ref.end_ms as ce from claims where source = 'gong'),
-  j as (select c.claim_id, c.loaded_at, c.verbatim, t.delivery_id, t.turn_ix, t.side, t.text, row_number() over (partition by c.claim_id, c.loaded_at order by t.delivery_id nulls last, t.turn_ix) as rn
-    from c left join turns t on t.call_id = c.call_id and t.speaker_id = c.speaker_id and t.start_ms <= c.cs and t.end_ms >= c.ce),
-  res as (select * from j where rn = 1),
-  f as (select *, case when claim_id is null or not regexp_matches(claim_id, '^[0-9a-f]{{12}}$') or length(trim(verbatim)) = 0 then 'schema_invalid' when turn_ix is null then 'citation_unresolved'
-      when side <> 'client' then 'speaker_not_client' when not contains(text, verbatim) then 'citation_unresolved' end as reason from res)"""
-
-
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    """Claims on calls only, one row per (claim_id, loaded_at), as the SQL of the next two queries has it."""
-    whole = C.resolve(table(spark, d, "claims"), D.turns(table(spark, d, "raw_calls")))
-    return D.latest(whole, ["claim_id", "loaded_at"], F.asc_nulls_last("delivery_id"), F.asc("turn_ix"))
-
-
-@query(f"with {_RES} select claim_id, delivery_id, turn_ix, side from res")
-def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d).select("claim_id", "delivery_id", "turn_ix", "side")
-
-
-@query(f"""with {_RES}, r as (select claim_id, case when reason is null and row_number() over (partition by claim_id, reason is null order by loaded_at) > 1 then 'duplicate' else reason end as reason from f)
-  select coalesce(reason, 'sound') as reason, count(*) as n from r group by all""")
-def reject_reason_chain(spark: SparkSession, d: str) -> DataFrame:
-    return C.reasons(_resolved(spark, d)).groupBy(F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-_RES_ALL = f"""{_TURNS}, l as (select *, row_number() over () as row from claims),
-  k as (select row_no, case_id, row_number() over (partition by row_no order by c.CreatedDate nulls first, c.Id, c.CommentBody nulls first, c.CreatedById) - 1 as ord, c.Id as comment_id, coalesce(c.CommentBody, '') as body
-    from (select row_no, case_data.Id as case_id, unnest(comments) as c from raw_cases) where c.IsPublished),
-  j as (select l.row, l.claim_id, l.loaded_at, l.verbatim, l.source, t.delivery_id, t.turn_ix, t.side, t.text
-    from l left join turns t on t.call_id = l.source_ref.call_id and t.speaker_id = l.source_ref.speaker_id and t.start_ms <= l.source_ref.start_ms and t.end_ms >= l.source_ref.end_ms where l.source = 'gong'
-    union all select l.row, l.claim_id, l.loaded_at, l.verbatim, l.source, k.row_no, k.ord, case when k.ord is not null then coalesce(l.speaker_side, 'vendor') end, k.body
-    from l left join k on k.case_id = l.source_ref.case_id and k.comment_id = l.source_ref.comment_id where l.source is distinct from 'gong'),
-  res as (select * from (select *, row_number() over (partition by row order by delivery_id nulls last, turn_ix) as rn from j) where rn = 1),
-  f as (select *, case when claim_id is null or not regexp_matches(claim_id, '^[0-9a-f]{{12}}$') or length(trim(verbatim)) = 0 then 'schema_invalid' when turn_ix is null then 'citation_unresolved'
-      when side <> 'client' then 'speaker_not_client' when not contains(text, verbatim) then 'citation_unresolved' end as reason from res),
-  r as (select source, case when reason is null and row_number() over (partition by claim_id, reason is null order by loaded_at) > 1 then 'duplicate' else reason end as reason from f)"""
-
-
-def _resolved_all(spark: SparkSession, d: str) -> DataFrame:
-    return C.resolve(table(spark, d, "claims"), D.turns(table(spark, d, "raw_calls")), D.case_comments(table(spark, d, "raw_cases")))
-
-
-@query(f"with {_RES_ALL} select claim_id, loaded_at, source, delivery_id, turn_ix::int as turn_ix, side from res")
-def citation_resolve_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every claim row, on calls and on case comments; a citation of a withheld comment finds nothing."""
-    return _resolved_all(spark, d).select("claim_id", "loaded_at", "source", "delivery_id", "turn_ix", "side")
-
-
-@query(f"with {_RES_ALL} select source, coalesce(reason, 'sound') as reason, count(*) as n from r group by all")
-def reject_reason_chain_all(spark: SparkSession, d: str) -> DataFrame:
-    return C.reasons(_resolved_all(spark, d)).groupBy("source", F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-_DERIVED = """tt as (select doc_no as delivery_id, (i - 1)::int as turn_ix, turns[i].ref.call_id as call_id, turns[i].ref.speaker_id as speaker_id, turns[i].ref.start_ms as start_ms, turns[i].ref.end_ms as end_ms, turns[i].speaker_side as side, turns[i]."text" as text
-    from gong_call, unnest(range(1, len(turns) + 1)) u(i) where turns[i].ref.call_id is not null),
-  c as (select substr(sha256(concat_ws(chr(31), call_id, coalesce(speaker_id, ''), start_ms::varchar, text)), 1, 12) as claim_id, delivery_id * 1000 + turn_ix as loaded_at, case when delivery_id % 5 = 0 then text || '.' else text end as verbatim, call_id, speaker_id, start_ms as cs,
-    case when delivery_id % 7 = 0 then end_ms + 1 else end_ms end as ce from tt),
-  j as (select c.claim_id, c.loaded_at, c.verbatim, t.delivery_id, t.turn_ix, t.side, t.text, row_number() over (partition by c.claim_id, c.loaded_at order by t.delivery_id nulls last, t.turn_ix) as rn
-    from c left join tt t on t.call_id = c.call_id and t.speaker_id = c.speaker_id and t.start_ms <= c.cs and t.end_ms >= c.ce), res as (select * from j where rn = 1),
-  f as (select *, case when length(trim(verbatim)) = 0 then 'schema_invalid' when turn_ix is null then 'citation_unresolved' when side <> 'client' then 'speaker_not_client' when not contains(text, verbatim) then 'citation_unresolved' end as reason from res),
-  r as (select claim_id, loaded_at, turn_ix, case when reason is null and row_number() over (partition by claim_id, reason is null order by loaded_at) > 1 then 'duplicate' else reason end as reason from f)"""
-
-
-@query(f"with {_DERIVED} select claim_id, loaded_at, turn_ix, reason from r")
-def derived_reason_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn of the source documents cited, some with a wrong text or interval, and judged; all reasons occur."""
-    t = table(spark, d, "gong_call", "doc_no", "turns").select(F.col("doc_no").alias("delivery_id"), F.posexplode("turns").alias("turn_ix", "t")).select(
-        "delivery_id", "turn_ix", "t.ref.call_id", "t.ref.speaker_id", "t.ref.start_ms", "t.ref.end_ms", F.col("t.speaker_side").alias("side"), "t.text").where("call_id is not null")
-    cid = F.substring(F.sha2(F.concat_ws("\x1f", "call_id", F.coalesce("speaker_id", F.lit("")), F.col("start_ms").cast("string"), "text"), 256), 1, 12)
-    end = F.when(F.col("delivery_id") % 7 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms"))
-    made = t.select(cid.alias("claim_id"), (F.col("delivery_id") * 1000 + F.col("turn_ix")).alias("loaded_at"), F.when(F.col("delivery_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("verbatim"),
-                    F.lit("gong").alias("source"), F.struct("call_id", "speaker_id", "start_ms", end.alias("end_ms")).alias("source_ref"))
-    return C.reasons(C.resolve(made, t)).select("claim_id", "loaded_at", "turn_ix", "reason")
-
 
 @query("""select delivery_id, turn_ix, array_to_string([s."text" for s in sents if s.start >= lo and s."end" <= hi], ' ') as text from
   (select delivery_id, (i - 1)::int as turn_ix, transcript.transcript[i].sentences as sents, transcript.transcript[i].sentences[1].start as lo, transcript.transcript[i].sentences[1]."end" as hi from raw_calls, unnest(range(1, len(transcript.transcript) + 1)) u(i)) where len(sents) > 0""")
@@ -386,9 +309,9 @@ def double_decided(spark: SparkSession, d: str) -> DataFrame:
     return TH.decisions(_proposals(spark, d)).where("claim_id <> ''").groupBy("claim_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(f"with {_INPUTS} select theme_id, arg_max(action, proposal_no * 100000 + ord) as last_action, arg_min(reason, proposal_no * 100000 + ord) as first_reason, count(*) as n from dec where action is not null and reason is not null group by theme_id")
+@query(f"with {_INPUTS} select theme_id, arg_max_null(action, proposal_no * 100000 + ord) as last_action, arg_min_null(reason, proposal_no * 100000 + ord) as first_reason, count(*) as n from dec group by theme_id")
 def decisions_by_theme(spark: SparkSession, d: str) -> DataFrame:
-    return TH.per_theme(TH.decisions(_proposals(spark, d)).where("action is not null and reason is not null"))
+    return TH.per_theme(TH.decisions(_proposals(spark, d)))
 
 
 @query("""with nt as (select proposal_no, t.placeholder as placeholder, regexp_extract(t.placeholder, '-(\\d+)$', 1)::int as k from (select proposal_no, unnest(new_themes) as t from editor_proposal)), h as (select max(regexp_extract(theme_id, '-(\\d+)$', 1)::int) as h from themes)
@@ -516,10 +439,12 @@ def build_calendar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "ts").select(day.cast("string").alias("day"), build_day(day).cast("string").alias("build"), run_id(build_day(day), 7).alias("build_run"), run_id(day, 6).alias("ingest_run")).distinct()
 
 
-@query("""select k.key, r.rec_no, r.a as attempts from (select key, min(rec_no) as rec_no, max(request.attempt) as a from recordings group by key) r join (select distinct key from recordings) k using (key)""")
+@query("""with r as (select *, row_number() over (partition by key order by recorded_at desc, rec_no desc) as rn from recordings)
+  select q.rec_no, q.key, r.rec_no as replayed_from, r.result.model_id as model_id from recordings q join r on r.key = q.key and rn = 1""")
 def replay_lookup(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "recordings", "key", "rec_no", "request.attempt")
-    return r.select("key").distinct().join(r.groupBy("key").agg(F.min("rec_no").alias("rec_no"), F.max("attempt").alias("attempts")), "key")
+    """Every request answered by the newest recording of its key; a miss would be an error."""
+    r = table(spark, d, "recordings", "key", "rec_no", "recorded_at", "result.model_id")
+    return replay.lookup(r.select("key", F.col("rec_no").alias("asked")), r).select(F.col("asked").alias("rec_no"), "key", F.col("rec_no").alias("replayed_from"), "model_id")
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------------------
