@@ -36,3 +36,8 @@ def same_positions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def predecessor(runs: DataFrame) -> DataFrame:
     """Each run with the one before it."""
     return runs.select("run_id", F.lag("run_id").over(Window.orderBy("run_id")).alias("before"))
+
+
+def ranked_missing_last(df: DataFrame) -> DataFrame:
+    """Themes by score, those without one last, ids in order; a report's rows, one task."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.coalesce("score", F.lit(-1))), F.asc("theme_id"))))

@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 import re
+from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from ..session import shared_dir
 from .documents import latest
 
 
@@ -114,3 +117,33 @@ def approve(proposals: DataFrame, theme_id: str, yes: bool) -> DataFrame:
         return proposals
     hit = (F.col("theme_id") == theme_id) & (F.col("status") == "proposed")
     return proposals.withColumn("status", F.when(hit, "filed").otherwise(F.col("status")))
+
+
+def runs_of_week(index: DataFrame, week: str) -> DataFrame:
+    """(run_id): the ingest runs of an ISO week that the source index knows; for a week it knows none of, those of its working days."""
+    from ..functions.calendar import iso_week
+
+    known = index.select(F.col("ingest_run_id").alias("run_id")).where(iso_week(F.expr("try_cast(substring(ingest_run_id, 1, 10) as date)")) == week).distinct()
+    first = date.fromisocalendar(int(week[:4]), int(week[6:]), 1)
+    days = index.sparkSession.createDataFrame([(f"{first + timedelta(days=i)}T06:00Z",) for i in range(5)], "run_id string")
+    any_ = known.limit(1).select(F.lit(True).alias("any"))
+    return known.unionByName(days.join(F.broadcast(any_), how="left_anti", on=F.lit(True)))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds `out`, each row's place (from 1) within its group by `order`, nulls first, without a task that holds a group whole.
+
+    Rows are dealt by ranges of (group, order) into tasks that number their own rows; then every task's rows of a group are moved by
+    the number that the ranges before it hold, a sum over as many small rows as there are tasks. Ties beyond `order` are numbered as they come.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(*[F.asc_nulls_first(k) for k in keys]).withColumn("__p", F.spark_partition_id())
+    path = shared_dir(df.sparkSession, "numbered")  # written once, so that both reads see the same ranges
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    here = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *group).orderBy(*[F.asc_nulls_first(k) for k in order])))
+    size = rows.groupBy("__p", *group).agg(F.count("*").alias("__size"))
+    before = size.withColumn("__before", F.coalesce(F.sum("__size").over(Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    g = before.select(F.col("__p").alias("__q"), "__before", *[F.col(k).alias(f"__g_{k}") for k in group])
+    on = [F.col("__p") == F.col("__q"), *[F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in group]]
+    return here.join(g, on).withColumn(out, F.col("__n") + F.col("__before")).select(*df.columns, out)

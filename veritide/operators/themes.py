@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import score as S
-from ..functions.calendar import age_days
+from ..functions.calendar import age_days, iso_week
 from ..functions.ids import theme_number
 from .documents import latest
 
@@ -91,3 +91,15 @@ def per_theme(d: DataFrame) -> DataFrame:
     """Decisions by theme: last action, first reason, number of claims; no list of a theme is collected."""
     o = F.struct("proposal_no", "ord")
     return d.groupBy("theme_id").agg(F.max_by("action", o).alias("last_action"), F.min_by("reason", o).alias("first_reason"), F.count("*").alias("n"))
+
+
+def week_violations(proposals: DataFrame, claims: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rules over a week: (proposal_no, 'account unknown', claim) where a decided claim's account is not in the master, and
+    (null, 'never decided', claim) where a claim captured in a week with proposals is in none of them."""
+    d = decisions(proposals).where("claim_id <> ''").select("proposal_no", "week", "claim_id")
+    c = claims.select("claim_id", "account_id", iso_week(F.expr("try_cast(substring(captured_at, 1, 10) as date)")).alias("week")).distinct()
+    stray = d.join(c.select("claim_id", "account_id"), "claim_id").where("account_id is not null").join(accounts.select("account_id").distinct(), "account_id", "left_anti")
+    weeks = proposals.select("week").where("week is not null").distinct()
+    open_ = c.join(weeks, "week", "left_semi").join(d, ["week", "claim_id"], "left_anti")
+    return stray.select("proposal_no", F.lit("account unknown").alias("rule"), F.col("claim_id").alias("key")).unionByName(
+        open_.select(F.lit(None).cast("bigint").alias("proposal_no"), F.lit("never decided").alias("rule"), F.col("claim_id").alias("key"))).distinct()

@@ -322,16 +322,6 @@ def id_allocation(spark: SparkSession, d: str) -> DataFrame:
     return TH.allocate(new, highest, ["proposal_no"]).select("proposal_no", "placeholder", "theme_id")
 
 
-@query("""with a as (select theme_id, aliases from themes), b as (select t.title as x, t.aliases as aliases, row_number() over (order by proposal_no, i) as k from (select proposal_no, i, new_themes[i] as t from editor_proposal, unnest(range(1, len(new_themes) + 1)) u(i)))
-  select a.theme_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(a.aliases, []), coalesce(b.aliases, [])))), ','), '') as merged from a left join b on 'THEME-' || lpad(b.k::varchar, 4, '0') = a.theme_id""")
-def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
-    new = _proposals(spark, d).select("proposal_no", F.posexplode("new_themes").alias("i", "t"))
-    new = new.select(F.format_string("THEME-%04d", F.row_number().over(Window.orderBy("proposal_no", "i"))).alias("theme_id"), F.col("t.aliases").alias("evidence"))
-    old = table(spark, d, "themes", "theme_id", "aliases").select("theme_id", F.col("aliases").alias("evidence"))
-    m = TH.merge(old, new).join(old.select("theme_id"), "theme_id", "left_semi")
-    return m.select("theme_id", F.array_join(F.array_sort("evidence"), ",").alias("merged"))
-
-
 # --- agreement of groupings ---------------------------------------------------------------------------------------------
 
 
@@ -468,18 +458,6 @@ def best_line_snippet(spark: SparkSession, d: str) -> DataFrame:
 # --- presence, rendering ------------------------------------------------------------------------------------------------
 
 
-@query("select claim_id, count(distinct theme_id) as themes, bool_and(theme_id like 'THEME-%') as real from (select trim(d.claim_id) as claim_id, trim(d.theme_id) as theme_id from (select unnest(decisions) as d from editor_proposal)) where claim_id <> '' group by claim_id")
-def golden_presence(spark: SparkSession, d: str) -> DataFrame:
-    """A claim stands under one theme: number of themes per claim and whether all exist already."""
-    return TH.decisions(_proposals(spark, d)).where("claim_id <> ''").groupBy("claim_id").agg(F.countDistinct("theme_id").alias("themes"), F.bool_and(F.col("theme_id").like("THEME-%")).alias("real"))
-
-
-@query("select account_id, count(*) as n from documents where text is not null and contains(text, 'tax receipt') group by account_id")
-def canary_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that hold a given text, per account; as a canary check it must be empty."""
-    return table(spark, d, "documents", "account_id", "text").where(F.contains("text", F.lit("tax receipt"))).groupBy("account_id").agg(F.count("*").alias("n"))
-
-
 @query("select claim_id, loaded_at, '<mark>' || replace(replace(replace(verbatim, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</mark>' as html from claims")
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "claims", "claim_id", "loaded_at", "verbatim").select("claim_id", "loaded_at", F.concat(F.lit("<mark>"), X.html(F.col("verbatim")), F.lit("</mark>")).alias("html"))

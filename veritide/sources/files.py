@@ -17,8 +17,9 @@ def inside(root: str, path: str) -> str:
     return full
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One document per file, of a given schema; an unreadable file is an error."""
+def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, root: str | None = None) -> DataFrame:
+    """One document per file, of a given schema; an unreadable file is an error, and so is a path outside `root`."""
+    path = path if root is None else inside(root, path)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -48,6 +49,15 @@ def markdown_table(spark: SparkSession, path: str, columns: int) -> DataFrame:
     return line.select(ok.alias("c")).select(*[F.col("c")[i].alias(f"c{i + 1}") for i in range(columns)])
 
 
+def pattern_table(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
+    """Table rows of a Markdown file read by a pattern with one group a column; a malformed row is an error that names its line."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+    rows = text.where("line like '|%' and not line rlike '^\\\\|[\\\\s|:-]+$'").where(~F.col("line").startswith(f"| {names[0]} |"))
+    bad = F.raise_error(F.concat(F.lit("malformed line "), (F.col("i") + 1).cast("string"), F.lit(": "), F.col("line"))).cast("string")
+    ok = F.when(F.col("line").rlike(pattern), F.col("line")).otherwise(bad)
+    return rows.select("i", ok.alias("line")).select((F.col("i") + 1).alias("line_no"), *[F.regexp_extract("line", pattern, k + 1).alias(n) for k, n in enumerate(names)])
+
+
 def grep(spark: SparkSession, path: str, needle: str) -> DataFrame:
     """Files of a folder that hold a text, with the number of lines; hidden folders are skipped by the reader."""
     return spark.read.option("recursiveFileLookup", True).text(path).where(F.contains("value", F.lit(needle))).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("lines"))
