@@ -13,8 +13,10 @@ ACCOUNT_FIELDS = "Id Name Tier__c ARR__c Renewal_Date__c Products__c".split()
 
 
 def instant(text: Column) -> Column:
-    """A UTC time as sources write it (`2026-09-08T15:00:00Z`, fractions cut); null for any other text, which `instants` reads."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), F.try_to_timestamp(F.regexp_replace(F.substring(text, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
+    """A UTC time as sources write it (`2026-09-08T15:00:00Z`, fractions cut, 24:00:00 the next midnight); null for any other text, which `instants` reads."""
+    at = F.try_to_timestamp(F.regexp_replace(F.substring(text, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    midnight = F.date_add(F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date"), 1).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), F.when(F.substring(text, 12, 8) == "24:00:00", midnight).otherwise(at))
 
 
 def list_calls(calls: DataFrame, after: str, until: str) -> DataFrame:
