@@ -44,7 +44,7 @@ _BEFORE_PRIOR = {"title": (50.0, 0.05), "known": (30.0, 4.0), "letter": (60.0, 0
 _ORDINAL = -1.5
 #: After a quotation or bracket closed with its own mark, in scripts without capitals: it began within the sentence, or with it.
 _CLOSED = {"inside": -1.0, "fresh": 1.0}
-_KEY = 40
+_KEY, _ASKING = 40, frozenset("!?！？‼⁇⁈⁉؟;")
 
 
 def _tools() -> dict:
@@ -57,7 +57,7 @@ def _tools() -> dict:
         "mark": regex.compile(rf"[{re.escape(END)}]+(?:\s?[!?]+)?|(?<=\p{{Greek}}[{re.escape(CLOSERS)}]*);|;"),
         "deva": regex.compile(r"\p{Devanagari}"),
         "word": regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}\xad]*(?:[.'’\-_][\p{L}\p{M}\p{N}\xad]+)*"),
-        "plain": regex.compile(r"(?<=[\p{L}\p{M}\p{N}])[^\S\r\n  \x85]+(?=[\p{L}\p{N}])"),
+        "plain": regex.compile(r"(?<=[\p{L}\p{M}\p{N}])[^\S\r\n  \x85]+(?=[\p{Lu}\p{Lt}\p{Lm}\p{Lo}])"),
         "thai": regex.compile(r"(?<=[\p{Thai}&&[\p{L}\p{M}]])[^\S\r\n  \x85]+(?=[\p{Thai}&&\p{L}])", regex.V1),
         "wide": regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]"),
         "greek": regex.compile(r"\p{Greek}"),
@@ -122,7 +122,7 @@ def before_class(w: str) -> str:
 def after_class(lead: str, word: str) -> str:
     """Class of what follows a place."""
     if lead.islower():
-        return "upper" if any(c.isupper() for c in word[1:]) else "lower"
+        return "upper" if word[1:].lower() != word[1:] else "lower"
     if lead.isupper():
         return "upper"
     if lead.isdigit():
@@ -136,7 +136,7 @@ def mark_class(mark: str) -> str:
     """Class of an end mark; `` (empty) is a blank without any."""
     if not mark:
         return ""
-    if any(x in mark for x in "!?！？‼⁇⁈⁉؟;"):
+    if not _ASKING.isdisjoint(mark):
         return "?"
     if "…" in mark or mark.startswith(".."):
         return "…"
@@ -285,7 +285,7 @@ def places(text: str, a: int, b: int, t: dict) -> list[Place]:
         k = m.end()
         lead = text[k]
         # A small letter of a script with capitals begins no sentence by any odds the counts can give.
-        if lead.islower() or lead.isdigit() or depth[k - a] or k in taken:
+        if lead.islower() or depth[k - a] or k in taken:
             continue
         x = Place()
         x.i, x.end, x.next, x.mark, x.blank, x.brk, x.lead, x.quoted, x.fixed = m.start(), m.start(), k, "", True, False, lead, "no", None
@@ -355,10 +355,14 @@ def count_text(text: str, t: dict, counts: Counter) -> None:
             w = _prev_word(text, a + m.start(), a)
             counts["abbr", w] += 1
             counts["A", before_class(w)] += 1
-        n = 0
+        n = low = 0
         for m in t["word"].finditer(text, a, b):
-            w, s = m[0], m.start()
+            w = m[0]
             n += 1
+            if w.islower() and w[0].isalpha():
+                low += 1
+                continue
+            s = m.start()
             if s == p or s in at:
                 continue
             lead = w[0]
@@ -376,6 +380,10 @@ def count_text(text: str, t: dict, counts: Counter) -> None:
             counts["M", c] += 1
             if c != "lower":
                 counts["mid", "0" if w.isdigit() else _key(w)] += 1
+        # Small words but for those that begin the block or follow a mark.
+        low -= first.islower() + sum(x.after == "lower" and bool(x.mark) for x in ps)
+        if low > 0:
+            counts["M", "lower"] += low
         counts["size", "1" if n == 1 else "2"] += 1
 
 
@@ -492,24 +500,29 @@ class Splitter:
         """Forward-backward over the events of a block; how seldom a sentence is one word lies between neighbours."""
         if not ps:
             return []
-        unary = []
+        yes, no = [], []
         for x in ps:
-            o = max(-30.0, min(30.0, self.odds(x)))
-            unary.append((1 / (1 + math.exp(o)), 1 / (1 + math.exp(-o))))
+            o = math.exp(max(-30.0, min(30.0, self.odds(x))))
+            yes.append(o / (1 + o))
+            no.append(1 / (1 + o))
+        # pair[k]: factor of boundaries at both k and k + 1; all other pairs of events have 1.
         pair, short = [], self.m["short"]
         for x, y in zip(ps, ps[1:]):
-            one = y.end - x.next < 60 and len(text[x.next : y.end].split()) < 2 and x.after != "wide" and x.fixed is None and y.fixed is None
-            pair.append(((1, 1), (1, short if one else 1)))
-        fwd = [unary[0]]
-        for u, p in zip(unary[1:], pair):
-            f = [u[e] * sum(fwd[-1][d] * p[d][e] for d in (0, 1)) for e in (0, 1)]
-            fwd.append((f[0] / sum(f), f[1] / sum(f)))
-        back = [(1.0, 1.0)]
-        for u, p in zip(reversed(unary[1:]), reversed(pair)):
-            g = [sum(p[d][e] * u[e] * back[-1][e] for e in (0, 1)) for d in (0, 1)]
-            back.append((g[0] / sum(g), g[1] / sum(g)))
-        back.reverse()
-        return [f[1] * g[1] / (f[0] * g[0] + f[1] * g[1]) for f, g in zip(fwd, back)]
+            one = y.end - x.next < 60 and x.after != "wide" and x.fixed is None and y.fixed is None and len(text[x.next : y.end].split()) < 2
+            pair.append(short if one else 1.0)
+        f0, f1 = [no[0]], [yes[0]]
+        for k in range(1, len(ps)):
+            p, q = no[k] * (f0[-1] + f1[-1]), yes[k] * (f0[-1] + f1[-1] * pair[k - 1])
+            f0.append(p / (p + q))
+            f1.append(q / (p + q))
+        out, b0, b1 = [0.0] * len(ps), 1.0, 1.0
+        for k in range(len(ps) - 1, -1, -1):
+            out[k] = f1[k] * b1 / (f0[k] * b0 + f1[k] * b1)
+            if k:
+                p, q = no[k] * b0, yes[k] * b1
+                b0, b1 = p + q, p + q * pair[k - 1]
+                b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
+        return out
 
     def __call__(self, text: str) -> list[tuple[int, int]]:
         if not text or not text.strip():
@@ -571,11 +584,14 @@ def split(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
         splitter = Splitter(sent.value)
         for b in batches:
             rows = []
+            seen: dict[str, list] = {}  # copies within a batch are split once
             for i, (k, x) in enumerate(zip(b["k"], b["text"])):
-                if "counts" in b:
-                    mine = b["counts"].iloc[i]
-                    splitter.counts = {(kind, w): int(n) for n, kind, w in (c.split("\t", 2) for c in (mine if mine is not None else ()))}
-                rows += [(k, s, e) for s, e in splitter(x)]
+                if x not in seen:
+                    if "counts" in b:
+                        mine = b["counts"].iloc[i]
+                        splitter.counts = {(kind, w): int(n) for n, kind, w in (c.split("\t", 2) for c in (mine if mine is not None else ()))}
+                    seen[x] = splitter(x)
+                rows += [(k, s, e) for s, e in seen[x]]
             yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
 
     src = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).where(F.col("text").isNotNull())
