@@ -377,34 +377,13 @@ def reprice_check(spark: SparkSession, d: str) -> DataFrame:
     return _calls(spark, d).groupBy("model_id").agg(F.round(F.sum(cost), 4).alias("repriced"))
 
 
-@query("""select event_type, count(*) filter (user_id % 2 = 0) as sources_listed, count(*) filter (user_id % 2 = 1) as sources_read, coalesce(sum((props::json->>'k')::bigint) filter (event_type = 'click'), 0)::bigint as comments_withheld,
-  coalesce(sum((props::json->>'k')::bigint) filter (event_type = 'error'), 0)::bigint as claims_rejected, count(*) filter (event_type = 'purchase') as proposals_written, count(*) filter (event_type = 'signup') as issues_filed from events group by event_type""")
-def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Counters over the event table read as a log: clicks withhold, errors reject, purchases propose, signups file."""
-    e = table(spark, d, "events", "event_type", "user_id", "props")
-    stage = F.when(F.col("user_id") % 2 == 0, "connect").otherwise("extract")
-    act = F.create_map(*[F.lit(x) for p in (("click", "withhold"), ("purchase", "propose"), ("signup", "approve")) for x in p])
-    log = e.select("event_type", stage.alias("stage"), F.replace("props", F.lit('"k"'), F.lit('"count"')).alias("detail"), F.when(F.col("event_type") == "error", "rejected").otherwise("ok").alias("outcome"), F.lit("read").alias("action"))
-    other = log.withColumn("action", F.coalesce(act[F.col("event_type")], F.lit("none"))).withColumn("outcome", F.lit("ok"))
-    return audit.counters(log.unionByName(other), "event_type")
-
-
-@query()
-def audit_summary(spark: SparkSession, d: str) -> DataFrame:
-    """All counters, reasons and kinds over the event table read as a log, as in `audit_rollup`; `detail` is props as it stands."""
-    e = table(spark, d, "events", "event_type", "user_id", "props")
-    act = F.create_map(*[F.lit(x) for p in (("click", "withhold"), ("purchase", "propose"), ("signup", "approve"), ("view", "read")) for x in p])
-    return audit.summary(e.select("event_type", F.when(F.col("user_id") % 2 == 0, "connect").otherwise("extract").alias("stage"), F.replace("props", F.lit('"k"'), F.lit('"count"')).alias("detail"),
-                                  F.when(F.col("event_type") == "error", "rejected").otherwise("ok").alias("outcome"), F.coalesce(act[F.col("event_type")], F.lit("none")).alias("action")), "event_type")
-
-
 @query("select event_id, (props::json->>'k')::bigint as k from events")
 def json_counter_read(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id", "props").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
 @query("select strftime(ts, '%G-W%V') as week, count(*) as n, count(distinct user_id) as users, round(sum(value), 2) as total from events group by 1")
-def week_summary(spark: SparkSession, d: str) -> DataFrame:
+def event_weeks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "ts", "user_id", "value").groupBy(iso_week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -49,4 +49,4 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     Only small inputs are dealt out: a large scan has partitions enough and is left alone.
     """
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
