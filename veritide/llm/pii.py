@@ -254,7 +254,7 @@ class Field:
             links = [0] * (n + 1)  # 1: a blank between a word and the one before, 2: a comma and a blank
             for i in range(1, n):
                 a, b = words[i - 1][1], words[i][0]
-                if 0 < b - a < 3:
+                if (lower or words[i][2].node or words[i - 1][2].node) and 0 < b - a < 3:
                     gap = text[a:b]
                     links[i] = 1 if gap.isspace() and "\n" not in gap and "\r" not in gap else 2 if gap[0] == "," and b - a == 2 and gap[1].isspace() else 0
             addresses = [x[:2] for x in spans if x[2] == "ADDRESS"]
@@ -289,7 +289,7 @@ class Field:
                     ids.append(const["short"])
                     if n == 1 and len(text.strip()) == e - s:
                         ids.append(const["alone"])
-                if s > 1 and text[s - 1] in "-/#_" and text[s - 2].isalnum():
+                if s > 1 and text[s - 1] in "-/#_" and text[s - 2].isalnum() or e + 1 < len(text) and text[e] in "-/#_" and text[e + 1].isdigit():
                     ids.append(const["glued"])
                 if not text[e:].strip():
                     ids.append(const["last"])
@@ -468,7 +468,7 @@ def seeds(field: Field, text: str, words: list, register: dict, flags: dict | No
     return out
 
 
-def train(texts: list[str], register: dict, rounds: int = 60, ridge: float = 0.3, flags: list[dict] | None = None) -> dict:
+def train(texts: list[str], register: dict, rounds: int = 40, ridge: float = 0.3, flags: list[dict] | None = None) -> dict:
     """Feature and edge weights together, by penalised pseudo-likelihood: each node given the labels of its neighbours.
 
     Every text is taken twice, with the register in the features and without, so that context must carry what the register
