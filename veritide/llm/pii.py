@@ -257,7 +257,7 @@ class Field:
                 if (lower or words[i][2].node or words[i - 1][2].node) and 0 < b - a < 3:
                     gap = text[a:b]
                     links[i] = 1 if gap.isspace() and "\n" not in gap and "\r" not in gap else 2 if gap[0] == "," and b - a == 2 and gap[1].isspace() else 0
-            addresses = [x[:2] for x in spans if x[2] == "ADDRESS"]
+            addresses = [x[:2] for x in spans if x[2] == "ADDRESS"] + [m.span() for m in _PLACEHOLDER.finditer(text) if m[0] == "[ADDRESS]"]
             place: dict[int, int] = {}
             last: dict[str, tuple[int, str]] = {}
             first: dict[str, int] = {}
