@@ -18,8 +18,8 @@ def explain(scored: DataFrame) -> DataFrame:
     return scored.select("theme_id", text.alias("explained"))
 
 
-def html_quotes(claims: DataFrame) -> DataFrame:
-    return claims.select("claim_id", F.concat(F.lit("<details><summary>"), html(F.col("paraphrase")), F.lit("</summary><mark>"), html(F.col("verbatim")), F.lit("</mark></details>")).alias("html"))
+def html_quotes(claims: DataFrame, *keep: str) -> DataFrame:
+    return claims.select("claim_id", *keep, F.concat(F.lit("<details><summary>"), html(F.col("paraphrase")), F.lit("</summary><mark>"), html(F.col("verbatim")), F.lit("</mark></details>")).alias("html"))
 
 
 def digest(ranked: DataFrame, week: str) -> str:

@@ -26,3 +26,8 @@ def with_retry(requests: DataFrame, recordings: DataFrame, valid: Column) -> Dat
     r = recordings.select("key", F.col("request.attempt").alias("attempt"), "result", "rec_no")
     w = r.groupBy("key").agg(F.min_by("result", F.struct("attempt", "rec_no")).alias("result"), F.max_by("result", F.struct("attempt", "rec_no")).alias("again"))
     return requests.join(w, "key", "left").withColumn("result", F.when(valid, F.col("result")).otherwise(F.col("again"))).drop("again")
+
+
+def record(responses: DataFrame, path: str, batch: str) -> None:
+    """Keeps every attempt, failed ones too, under its request's key. A batch written again replaces itself."""
+    responses.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

@@ -58,9 +58,12 @@ def pattern_table(spark: SparkSession, path: str, pattern: str, names: list[str]
     return rows.select("i", ok.alias("line")).select((F.col("i") + 1).alias("line_no"), *[F.regexp_extract("line", pattern, k + 1).alias(n) for k, n in enumerate(names)])
 
 
-def grep(spark: SparkSession, path: str, needle: str) -> DataFrame:
-    """Files of a folder that hold a text, with the number of lines; hidden folders are skipped by the reader."""
-    return spark.read.option("recursiveFileLookup", True).text(path).where(F.contains("value", F.lit(needle))).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("lines"))
+def grep(spark: SparkSession, path: str, needle: str, under: str = "") -> DataFrame:
+    """Files of a folder that hold a text, with the number of lines; `under` keeps those whose path holds it (outputs only, say).
+
+    Hidden folders are skipped by the reader."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).withColumn("file", F.input_file_name())
+    return lines.where(F.contains("value", F.lit(needle)) & F.contains("file", F.lit(under))).groupBy("file").agg(F.count("*").alias("lines"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
