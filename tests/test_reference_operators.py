@@ -241,3 +241,10 @@ def test_nested_documents_are_scrubbed_and_counted_once(spark, inline):
     assert got[1].title == "[NAME] called" and got[1].turns[0].text == "Mail [EMAIL], [NAME]" and [s.text for s in got[1].turns[0].sentences] == ["Mail [EMAIL],", "[NAME]"]
     assert tuple(got[1].pii_counts) == (1, 0, 0, 2) and got[1].turns[1].text is None and got[1].turns[2] is None and got[1].scrubbed
     assert got[2].turns is None and tuple(got[2].pii_counts) == (0, 0, 0, 0) and got[3].title == "[NAME] and [NAME]"
+
+
+def test_a_model_without_rates_is_fatal(spark):
+    cost = lambda m: S.call_cost(m, *[F.lit(1_000_000)] * 4)
+    assert one(spark, cost(F.lit("narrator-1")), cost(F.lit(None).cast("string"))) == (7.35, None)
+    with pytest.raises(Exception, match="no rates for model other"):
+        one(spark, cost(F.lit("other")))

@@ -25,5 +25,10 @@ def replay_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
 
 
+def request_id(tool: Column, arguments: Column) -> Column:
+    """`req-` and six hex digits of sha256 over tool and arguments."""
+    return F.concat(F.lit("req-"), F.substring(F.sha2(F.concat_ws("\x1f", tool, arguments), 256), 1, 6))
+
+
 def theme_number(c: Column) -> Column:
     return F.regexp_extract(c, r"-(\d+)$", 1).cast("int")

@@ -30,12 +30,13 @@ def score(customers: Column, arr: Column, open_cases: Column, recency_days: Colu
 
 
 def call_cost(model: Column, *tokens: Column) -> Column:
-    """Sum of tokens (in, out, cache read, cache write) times rate, per million; null for a model without rates."""
+    """Sum of tokens (in, out, cache read, cache write) times rate, per million; a named model without rates is an error, null gives null."""
     cost = None
     for name, rates in RATES.items():
         one = sum((t.cast("double") * F.lit(r) for t, r in zip(tokens, rates)), F.lit(0.0)) / F.lit(1e6)
         cost = F.when(model == name, one) if cost is None else cost.when(model == name, one)
-    return F.round(cost, 10)
+    missing = F.raise_error(F.concat(F.lit("no rates for model "), model)).cast("double")
+    return F.round(cost.when(model.isNotNull(), missing), 10)
 
 
 def jaccard(a: Column, b: Column) -> Column:

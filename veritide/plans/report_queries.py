@@ -163,3 +163,27 @@ def rank_positions(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d)
     by = lambda c: s.select("theme_id", F.row_number().over(Window.orderBy(F.desc(c), F.asc("theme_id"))).alias("rank"))
     return drift.same_positions(by("score"), by("claims"), "theme_id")
+
+
+@query("""with s as (select distinct theme_key, id as source_id from mock where theme_key is not null and id is not null), c as (select claim_id, case when source = 'gong' then source_ref.call_id else source_ref.case_id end as source_id from claims),
+  t as (select distinct trim(x.claim_id) as claim_id, trim(x.theme_id) as theme_id from (select unnest(decisions) as x from editor_proposal) where trim(x.theme_id) <> '')
+  select theme_key, count(distinct source_id) as sources, count(distinct c.claim_id) as claims, count(distinct t.theme_id) as themes from s left join c using (source_id) left join t using (claim_id) group by 1""")
+def theme_key_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From the keys of the index over its documents and their claims to the themes they came to."""
+    s = table(spark, d, "mock", "theme_key", "id").where("theme_key is not null and id is not null").select("theme_key", F.col("id").alias("source_id")).distinct()
+    c = table(spark, d, "claims", "claim_id", "source", "source_ref").select("claim_id", F.when(F.col("source") == "gong", F.col("source_ref.call_id")).otherwise(F.col("source_ref.case_id")).alias("source_id")).distinct()
+    t = TH.decisions(_proposals(spark, d)).where("theme_id <> ''").select("claim_id", "theme_id").distinct()
+    return s.join(c, "source_id", "left").join(t, "claim_id", "left").groupBy("theme_key").agg(F.countDistinct("source_id").alias("sources"), F.countDistinct("claim_id").alias("claims"), F.countDistinct("theme_id").alias("themes"))
+
+
+@query("select doc_no, title, coalesce(len(turns), 0)::int as turns from gong_call where source_id = '7700000000011'")
+def document_point_read(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "gong_call", "doc_no", "source_id", "title", "turns").where("source_id = '7700000000011'")
+    return g.select("doc_no", "title", F.coalesce(F.array_size("turns"), F.lit(0)).alias("turns"))
+
+
+@query("select rec_no, 'req-' || substr(sha256(request.agent || chr(31) || coalesce(request.user, '')), 1, 6) as request_id from recordings")
+def request_ids(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.ids import request_id
+
+    return table(spark, d, "recordings", "rec_no", "request").select("rec_no", request_id(F.col("request.agent"), F.coalesce("request.user", F.lit(""))).alias("request_id"))
