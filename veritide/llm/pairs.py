@@ -118,6 +118,7 @@ class Judge:
         self.hidden = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}\s]+")
         self.word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
         self.scripts = [(k, regex.compile(p)) for k, p in _SCRIPTS]
+        self.not_latin = regex.compile(r"[\p{Latin}\P{L}]+")
         self.owner: dict[str, list[str]] = {}
         for lang, words in WORDS.items():
             for w in words.split():
@@ -215,7 +216,11 @@ class Judge:
         core = self.citation.sub(" ", self.quoted.sub(" ", text))
         if len(self.tokens(core)) < 3:
             core = self.citation.sub(" ", text)
-        n = {k: 0 for k, _ in self.scripts} | {"latin": 1 if any(map(str.isalpha, core)) else 0} if core.isascii() else {k: len(p.findall(core)) for k, p in self.scripts}
+        other = "" if core.isascii() else self.not_latin.sub("", core)
+        if other:
+            n = {k: len(p.findall(core)) for k, p in self.scripts}
+        else:  # nothing but Latin letters
+            n = {k: 0 for k, _ in self.scripts} | {"latin": int(any(map(str.isalpha, core)))}
         if n["ja"]:
             n["ja"] += n["zh"]
             n["zh"] = 0
