@@ -171,3 +171,13 @@ def test_queries_without_the_text_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+def test_verbs_and_exit_codes(spark, data, tmp_path, capsys):
+    from veritide.__main__ import main
+
+    assert main(["list"]) == 0 and "theme_score_rank" in capsys.readouterr().out.split()
+    assert main([]) == main(["run", "no_such_query", data]) == 2 and main(["run", "picklist_split", str(tmp_path / "none")]) == 3
+    assert main(["run", "picklist_split", data, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert main(["compare", "picklist_split", data, data]) == 0 and main(["check", data]) in (0, 1)
+    assert main(["mark", str(tmp_path / "m"), "2026-01-05"]) == 0 and capsys.readouterr().out.endswith("2026-01-05\n")

@@ -29,7 +29,7 @@ def counters(events: DataFrame, by: str) -> DataFrame:
         n("action = 'propose' and outcome = 'ok'").alias("proposals_written"), n("action = 'approve' and outcome = 'ok'").alias("issues_filed"))
 
 
-#: Names of the counters that a log's `detail` may carry, of the reasons and of the kinds.
+# Names of the counters that a log's `detail` may carry, of the reasons and of the kinds.
 COUNTERS = """sources_listed sources_read sources_skipped comments_withheld pii_redactions claims_extracted claims_verified claims_rejected
 themes_appended themes_opened themes_quiet themes_stale proposals_written issues_filed""".split()
 REASONS = "schema_invalid citation_unresolved speaker_not_client duplicate window_violation".split()

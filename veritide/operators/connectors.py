@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import documents as D
 
-#: The fields of a listed call and case.
+# The fields of a listed call, case and account.
 CALL_FIELDS = """id url title scheduled started duration primaryUserId direction system scope media language workspaceId sdrDisposition clientUniqueId
 customData purpose meetingUrl isPrivate calendarEventId""".split()
 CASE_FIELDS = "Id CaseNumber AccountId Subject Status Priority CreatedDate ClosedDate".split()
