@@ -67,9 +67,9 @@ def withheld(cases: DataFrame) -> DataFrame:
 
 
 def first_deliveries(df: DataFrame, document: Column, order: str) -> DataFrame:
-    """One row per document: the delivery that comes first by `order`. Documents without an id are each their own."""
-    d = df.withColumn("__doc", document)
-    return latest(d.where(F.col("__doc").isNotNull()), "__doc", F.asc(order)).unionByName(d.where(F.col("__doc").isNull())).drop("__doc")
+    """One row per document: the delivery that comes first by `order`, a unique column. Documents without an id are each their own, spread by it."""
+    w = Window.partitionBy(document, F.when(document.isNull(), F.col(order))).orderBy(order)
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
 def user_side(author: Column, user_type: Column) -> Column:

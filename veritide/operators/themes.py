@@ -10,6 +10,7 @@ from ..functions import score as S
 from ..functions.calendar import age_days, iso_week
 from ..functions.ids import theme_number
 from .documents import latest
+from .incremental import numbered
 
 STALE_DAYS = 14
 
@@ -60,9 +61,9 @@ def ranked(df: DataFrame) -> DataFrame:
 
 
 def allocate(placeholders: DataFrame, highest: DataFrame, order: list[str]) -> DataFrame:
-    """Placeholders get the ids after the highest one, in the order of `order` and their own numbers."""
-    w = Window.orderBy(*order, theme_number(F.col("placeholder")), "placeholder")
-    return placeholders.join(F.broadcast(highest), how="cross").withColumn("theme_id", F.format_string("THEME-%04d", F.col("highest") + F.row_number().over(w)))
+    """Placeholders get the ids after the highest one, in the order of `order` and their own numbers; numbered over ranges, not in one task."""
+    rows = numbered(placeholders.withColumn("__own", theme_number(F.col("placeholder"))), [], [*order, "__own", "placeholder"], "__n")
+    return rows.join(F.broadcast(highest), how="cross").withColumn("theme_id", F.format_string("THEME-%04d", F.col("highest") + F.col("__n"))).drop("__own", "__n")
 
 
 def violations(proposals: DataFrame, claims: DataFrame, themes: DataFrame) -> DataFrame:
